@@ -171,7 +171,9 @@ def near_links(reps: DataFrame, k: int, similarity: float) -> DataFrame:
 
     texts = reps.select("uid", "words")
     star = shared.where((F.col("uid") != F.col("lead")) & fits).select(F.least("uid", "lead").alias("a"), F.greatest("uid", "lead").alias("b")).distinct()
-    edges = materialise(_verify_pairs(star, texts, k, similarity), "links")
+    star = materialise(star, "star")
+    ends = materialise(star.select(F.col("a").alias("uid")).unionByName(star.select(F.col("b").alias("uid"))).distinct(), "ends")
+    edges = materialise(_verify_pairs(star, join_checked(texts, ends, "uid", "left_semi", 16), k, similarity), "links")
     comps = components(edges)
 
     name = comps.select(F.col("node").alias("uid"), "comp")
@@ -179,7 +181,8 @@ def near_links(reps: DataFrame, k: int, similarity: float) -> DataFrame:
     spread = members.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.col("n").cast("long")).alias("w"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     spread = spread.where("lo <> hi").select("key", F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("w") / BLOCK_WORDS)).cast("int").alias("parts"))
     still = materialise(members.join(spread, "key").withColumn("block", F.pmod(F.xxhash64("uid", "key"), F.col("parts")).cast("int")), "open")
-    held = still.groupBy("uid").agg(F.collect_list("key").alias("open")).join(texts, "uid")  # at most a key per sketch
+    keys = materialise(still.groupBy("uid").agg(F.collect_list("key").alias("open")), "keys")  # at most a key per sketch
+    held = join_checked(texts, keys, "uid", "inner", 24 + 8 * F.size("open"))
     other = F.explode(F.expr("sequence(0, parts - 1)"))
     dealt = still.select("key", "uid", "comp", "block", "leads", other.alias("other"))
     dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "uid", "comp", "block", "leads")
@@ -207,7 +210,7 @@ def near_links(reps: DataFrame, k: int, similarity: float) -> DataFrame:
     again = over.select(F.col("node").alias("comp"), F.col("comp").alias("final"))
     known = name.unionByName(over.select(F.col("node").alias("uid"), F.col("node").alias("comp")).join(name.select("uid"), "uid", "left_anti"))
     out = materialise(known.join(again, "comp", "left").select(F.col("uid").alias("node"), F.coalesce("final", "comp").alias("comp")), "classes")
-    forget(shared, edges, comps, members, still, more, over)
+    forget(shared, star, ends, edges, comps, members, still, keys, more, over)
     return out
 
 
