@@ -24,19 +24,19 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp"))
         target = least.select(F.col("node").alias("t"), F.col("comp").alias("further"))
         step = materialise(least.join(target, F.col("comp") == F.col("t")).select("node", F.col("further").alias("comp")), "step")
+        left = step.select(F.col("node").alias("a"), F.col("comp").alias("x"))
+        right = step.select(F.col("node").alias("b"), F.col("comp").alias("y"))
+        moved = edges.join(left, "a").join(right, "b").where("x <> y")
+        rest = materialise(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        forget(edges)
+        edges = rest
         if labels is None:
             labels = step
         else:
             to = step.select(F.col("node").alias("t"), F.col("comp").alias("further"))
             joined = labels.join(to, F.col("comp") == F.col("t"), "left").select("node", F.coalesce("further", "comp").alias("comp"))
-            labels, old = materialise(joined, "labels"), labels
+            old, labels = labels, materialise(joined, "labels")
             forget(old, step)
-        ends = labels
-        left = ends.select(F.col("node").alias("a"), F.col("comp").alias("x"))
-        right = ends.select(F.col("node").alias("b"), F.col("comp").alias("y"))
-        rest, old = materialise(edges.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges"), edges
-        forget(old)
-        edges = rest
         if not edges.take(1):
             forget(edges)
             return labels
