@@ -21,7 +21,7 @@ def event_stream(rows: DataFrame, gap: int, late: str = "10 minutes", key: str |
     """
     window = F.session_window("ts", f"{gap} seconds")
     # Spark wants a key beside a session window; without one all rows have the same.
-    keys = [window, F.lit(0).alias("all") if key is None else F.col(key)]
+    keys = [window, (F.year("ts") * 0).alias("all") if key is None else F.col(key)]
     out = rows.withWatermark("ts", late).groupBy(*keys).agg(F.count("*").alias("count"), F.max("ts").alias("end"))
     return out.select(*([key] if key else []), F.col("session_window.start").alias("start"), "end", "count")
 
