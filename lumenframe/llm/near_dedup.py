@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .alignment import banded_distance
-from .components import components
 from .shared import arrow_map, forget, join_checked, materialise, mix, normal_words, windows, word_hashes
 
 SHINGLE = 5
@@ -54,7 +54,7 @@ def order_sketches(x: np.ndarray, sketches: int, ordered: int) -> np.ndarray:
     seeds = mix(np.arange(1, 2 * sketches + 1, dtype=np.uint64))
     take = min(ordered, len(x))
     keys = np.empty(sketches, np.uint64)
-    step = max(1, 2_000_000 // len(x))
+    step = max(1, 100_000 // len(x))  # hashes at once, few enough to stay in the processor's cache
     for s in range(0, sketches, step):
         n = min(step, sketches - s)
         h = (x[None, :] ^ seeds[s : s + n, None]) * (seeds[sketches + s : sketches + s + n, None] | np.uint64(1))
