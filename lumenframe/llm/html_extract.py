@@ -25,6 +25,8 @@ from .shared import join_checked, materialise, process_cache
 #: A slot counts as template when at least so many pages agree on its words.
 LEAST_PAGES = 4
 SALTS = 64
+#: Elements nested deeper than this stand beside each other instead, so that trees can be walked; none is dropped.
+DEEPEST = 150
 
 #: Kinds of elements, and names that mark what isn't the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,6 +39,7 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
     r"|<(?P<raw>script|style|template|textarea|title|noscript|iframe|svg)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|</?[A-Za-z][^<>]*\Z"  # a tag that the end of the page cuts off
     r"|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>",
     re.DOTALL | re.IGNORECASE,
 )
@@ -110,7 +113,7 @@ def parse(page: str) -> Node:
                 links = max(0, links + (-1 if m["end"] else 1))
             if tag == "br":
                 held.append((" ", False))
-            if noise and tag == "span":  # a named inline part is kept apart, so that it can be left out
+            if noise and tag == "span" and len(stack) < DEEPEST:  # a named inline part is kept apart, so that it can be left out
                 flush()
                 stack.append(Node(tag, *_named(tag, m["attrs"])))
                 stack[-2].children.append(stack[-1])
@@ -145,7 +148,7 @@ def parse(page: str) -> Node:
                     break
         node = Node(tag, *_named(tag, m["attrs"]))
         stack[-1].children.append(node)
-        if tag not in VOID and not m["attrs"].rstrip().endswith("/"):
+        if tag not in VOID and not m["attrs"].rstrip().endswith("/") and len(stack) < DEEPEST:
             stack.append(node)
     if at < len(page):
         held.append((html.unescape(page[at:]), links > 0))
@@ -168,13 +171,16 @@ def runs(node: Node) -> list[list[Node]]:
 # all text of the slot has so far, or "" once it varies.
 
 
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=9).hexdigest()
+
+
 def wrapper_of(nodes: list[Node]) -> list:
     """The wrapper of neighbours of one label on one page."""
     first = nodes[0]
     if first.label == "#text":
         text = "\n".join(n.text for n in nodes)
-        digest = hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=9).hexdigest()
-        return ["#text", 1, digest, len(text), sum(n.links for n in nodes), []]
+        return ["#text", 1, _digest(text), len(text), sum(n.links for n in nodes), []]
     out: list = [first.label, 1, None, 0, 0, []]
     for i, n in enumerate(nodes):
         children = [wrapper_of(r) for r in runs(n)]
@@ -224,8 +230,11 @@ def aligned(xs: list, ys: list, memo: dict) -> list[tuple[int | None, int | None
 
 def merged(a: list, b: list, same_page: bool = False) -> list:
     words = a[2]
-    if a[0] == "#text" and a[2] != b[2]:
-        words = ""
+    if a[0] == "#text":
+        if same_page:  # stretches of one page, as one
+            words = _digest(f"{a[2]}{b[2]}")
+        elif a[2] != b[2]:
+            words = ""
     return [a[0], a[1] if same_page else a[1] + b[1], words, a[3] + b[3], a[4] + b[4], merged_children(a[5], b[5], same_page)]
 
 
