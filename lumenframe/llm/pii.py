@@ -147,15 +147,33 @@ def sample(n: int = SAMPLE, seed: int = 11) -> list[dict]:
         number = int(body + "".join(str(ord(c) - 55) for c in country) + "00")
         return f"{country}{98 - number % 97:02d}{body}"
 
+    cues = {"local_phone": ["call", "phone", "tel.", "mobile", "fax"], "ssn": ["SSN", "social security number", "tax id"], "iban": ["IBAN", "bank account", "transfer to", ""], "spelled_email": ["mail", "contact", "write to", ""], "ipv6": ["host address", "login from", "server"]}
+    other = ["version", "ISBN", "order", "invoice", "part", "item", "ref", "build", "model", "serial", "", "", ""]
+
     def good(kind: str) -> tuple[str, str]:
-        cue = {"local_phone": ["call", "phone", "tel.", "mobile", "fax"], "ssn": ["SSN", "social security number", "tax id"], "iban": ["IBAN", "bank account", "transfer to", ""], "spelled_email": ["mail", "contact", "write to", ""], "ipv6": ["host address", "login from", "server"]}[kind]
-        value = {"local_phone": lambda: r.choice(["({}) {}-{}", "{}-{}-{}", "{} {} {}"]).format(d(3), d(3), d(4)), "ssn": lambda: f"{r.randint(1, 665):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}", "iban": iban, "spelled_email": lambda: f"{word()}{r.choice([' (at) ', '[at]', ' [at] '])}{word()}{r.choice(['.com', ' (dot) org', ' [dot] net'])}", "ipv6": lambda: ":".join(f"{r.randrange(1, 65536):x}" for _ in range(8))}[kind]()
-        return r.choice(cue), value
+        value = {
+            "local_phone": lambda: r.choice(["({}) {}-{}", "{}-{}-{}", "{} {} {}"]).format(d(3), d(3), d(4)),
+            "ssn": lambda: f"{r.randint(1, 665):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}",
+            "iban": iban,
+            "spelled_email": lambda: f"{word()}{r.choice([' (at) ', '[at]', ' [at] '])}{word()}{r.choice(['.com', ' (dot) org', ' [dot] net'])}",
+            "ipv6": lambda: ":".join(f"{r.randrange(1, 65536):x}" for _ in range(8)),
+        }[kind]()
+        return r.choice(cues[kind]), value
 
     def bad(kind: str) -> tuple[str, str]:
-        cue = r.choice(["version", "ISBN", "order", "invoice", "part", "item", "ref", "build", "model", "serial", "", "", ""])
-        value = {"local_phone": lambda: f"{d(3)}{r.choice('.- ')}{d(3)}{r.choice('.- ')}{d(4)}", "ssn": lambda: r.choice([f"000-{d(2)}-{d(4)}", f"9{d(2)}-{d(2)}-{d(4)}", f"{d(3)}-00-{d(4)}", f"{d(3)}-{d(2)}-{d(4)}"]), "iban": lambda: "".join(r.choice("ABCDEFGHKL") for _ in range(2)) + d(2) + r.choice([d(16), "".join(r.choice("ABCDEF0123") for _ in range(16))]), "spelled_email": lambda: f"{word()} (at) {word()}.{r.choice(['the', 'then', 'and'])}", "ipv6": lambda: ":".join(f"{r.randrange(0, 3):x}" for _ in range(8))}[kind]()
-        return cue, value
+        """Numbers of other things, and, whatever stands before them, values that fail their check."""
+        if kind == "iban" or kind == "ssn" and r.random() < 0.6:
+            own = iban()
+            wrong = f"{own[:2]}{(int(own[2:4]) + r.randint(1, 90)) % 97:02d}{own[4:]}" if r.random() < 0.5 else "".join(r.choice("ABCDEFGHKL") for _ in range(2)) + d(2) + r.choice([d(16), "".join(r.choice("ABCDEF0123") for _ in range(16))])
+            value = wrong if kind == "iban" else r.choice([f"000-{d(2)}-{d(4)}", f"9{d(2)}-{d(2)}-{d(4)}", f"{d(3)}-00-{d(4)}"])
+            return r.choice(cues[kind] + other), value
+        value = {
+            "local_phone": lambda: f"{d(3)}{r.choice('.- ')}{d(3)}{r.choice('.- ')}{d(4)}",
+            "ssn": lambda: f"{d(3)}-{d(2)}-{d(4)}",
+            "spelled_email": lambda: f"{word()} (at) {word()}.{r.choice(['the', 'then', 'and'])}",
+            "ipv6": lambda: ":".join(f"{r.randrange(0, 3):x}" for _ in range(8)),
+        }[kind]()
+        return r.choice(other), value
 
     out = []
     for _ in range(n):
