@@ -166,8 +166,8 @@ def near_links(reps: DataFrame, k: int, similarity: float) -> DataFrame:
     buckets = reps.select("uid", "n", F.explode("keys").alias("key"))
     first = F.min(F.struct(F.xxhash64("uid", "key").alias("h"), "uid", "n"))
     stats = buckets.groupBy("key").agg(F.count("*").alias("members"), first.alias("lead")).where("members > 1")
-    stats = stats.select("key", "members", F.col("lead.uid").alias("lead"), F.col("lead.n").alias("lead_n"))
-    shared = materialise(buckets.join(stats, "key"), "buckets")
+    stats = materialise(stats.select("key", "members", F.col("lead.uid").alias("lead"), F.col("lead.n").alias("lead_n")), "stats")
+    shared = materialise(join_checked(buckets, stats, "key", "inner", 48), "buckets")
 
     texts = reps.select("uid", "words")
     star = shared.where((F.col("uid") != F.col("lead")) & fits).select(F.least("uid", "lead").alias("a"), F.greatest("uid", "lead").alias("b")).distinct()
@@ -177,10 +177,11 @@ def near_links(reps: DataFrame, k: int, similarity: float) -> DataFrame:
     comps = components(edges)
 
     name = comps.select(F.col("node").alias("uid"), "comp")
-    members = materialise(join_checked(shared.where("members > 2"), _like(name, comps), "uid", "left", 24).select("key", "uid", "n", (F.col("uid") == F.col("lead")).alias("leads"), F.coalesce("comp", "uid").alias("comp")), "members")
+    members = materialise(join_checked(shared.where("members > 2"), name, "uid", "left", 24).select("key", "uid", "n", (F.col("uid") == F.col("lead")).alias("leads"), F.coalesce("comp", "uid").alias("comp")), "members")
     spread = members.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.col("n").cast("long")).alias("w"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     spread = spread.where("lo <> hi").select("key", F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("w") / BLOCK_WORDS)).cast("int").alias("parts"))
-    still = materialise(members.join(spread, "key").withColumn("block", F.pmod(F.xxhash64("uid", "key"), F.col("parts")).cast("int")), "open")
+    spread = materialise(spread, "spread")
+    still = materialise(join_checked(members, spread, "key", "inner", 24).withColumn("block", F.pmod(F.xxhash64("uid", "key"), F.col("parts")).cast("int")), "open")
     keys = materialise(still.groupBy("uid").agg(F.collect_list("key").alias("open")), "keys")  # at most a key per sketch
     held = join_checked(texts, keys, "uid", "inner", 24 + 8 * F.size("open"))
     other = F.explode(F.expr("sequence(0, parts - 1)"))
@@ -210,15 +211,10 @@ def near_links(reps: DataFrame, k: int, similarity: float) -> DataFrame:
     again = over.select(F.col("node").alias("comp"), F.col("comp").alias("final"))
     known = name.unionByName(over.select(F.col("node").alias("uid"), F.col("node").alias("comp")).join(name.select("uid"), "uid", "left_anti"))
     out = materialise(known.join(again, "comp", "left").select(F.col("uid").alias("node"), F.coalesce("final", "comp").alias("comp")), "classes")
-    forget(shared, star, ends, edges, comps, members, still, keys, more, over)
+    forget(stats, shared, star, ends, edges, comps, members, spread, still, keys, more, over)
     return out
 
 
-def _like(df: DataFrame, source: DataFrame) -> DataFrame:
-    df._scratch = source._scratch
-    return df
-
-
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
@@ -239,12 +235,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plain = table.select("uid", "id", "seq")
     owner = join_checked(plain, groups, "seq", "left", 32).select("uid", "id", F.coalesce("rep", "uid").alias("rep"))
     owner = materialise(owner, "owners")
-    copies = _like(materialise(owner.where("uid <> rep").select("uid"), "copies"), groups)
+    copies = materialise(owner.where("uid <> rep").select("uid"), "copies")
     reps = join_checked(table.select("uid", "n", "words", "keys"), copies, "uid", "left_anti", 16)
 
     comps = near_links(reps, k, similarity)
     to = comps.select(F.col("node").alias("rep"), "comp")
-    member = join_checked(owner, _like(to, comps), "rep", "left", 24).select("uid", "id", F.coalesce("comp", "rep").alias("class"))
+    member = join_checked(owner, to, "rep", "left", 24).select("uid", "id", F.coalesce("comp", "rep").alias("class"))
     member = materialise(member, "members")
     classes = member.groupBy("class").agg(best.alias("best"), F.count("*").alias("size")).where("size > 1")
     classes = materialise(classes.select("class", F.col("best.id").alias("top_id"), F.col("best.uid").alias("top_uid"), "size"), "sizes")
