@@ -28,15 +28,16 @@ MIGRATIONS: list[Callable[[dict[str, DataFrame]], dict[str, DataFrame]]] = []
 
 
 class Store:
-    """Versioned tables below a folder. Writers put new data beside the old and then move the pointer in one rename.
+    """Versioned tables below a folder. Writers put new data beside the old and then name it in a new pointer file.
 
-    One writer at a time; readers keep the snapshot that they opened.
+    The pointer of a version appears by one rename to a name that must not exist, so readers see the last whole
+    version and of two writers of one version the second fails. Readers keep the snapshot that they opened.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        self._fs = self._pointer.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._folder = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/pointers")
+        self._fs = self._folder.getFileSystem(spark._jsc.hadoopConfiguration())
         self.state = self._read() or {"schema": len(MIGRATIONS) + 1, "version": 0, "tables": {}}
         if self.state["schema"] > len(MIGRATIONS) + 1:
             raise ValueError(f"the catalog has schema {self.state['schema']}, newer than {len(MIGRATIONS) + 1}")
@@ -46,9 +47,13 @@ class Store:
             self.put(**new)
 
     def _read(self) -> dict | None:
-        if not self._fs.exists(self._pointer):
+        if not self._fs.exists(self._folder):
             return None
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/CURRENT").collect()))
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._folder)]
+        last = max((n for n in names if n.startswith("v")), default=None)
+        if last is None:
+            return None
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/pointers/{last}").collect()))
 
     def table(self, name: str) -> DataFrame:
         at = self.state["tables"].get(name)
@@ -65,11 +70,11 @@ class Store:
             df.select(*[F.col(c).cast(TABLES[name][c].dataType) if c in df.columns else F.lit(None).cast(TABLES[name][c].dataType).alias(c) for c in fields]).write.parquet(at)
             state["tables"][name] = at
         jvm = self.spark._jvm
-        new = jvm.org.apache.hadoop.fs.Path(f"{self.path}/.next-{uuid.uuid4().hex}")
+        new = jvm.org.apache.hadoop.fs.Path(f"{self.path}/pointers/.next-{uuid.uuid4().hex}")
         out = self._fs.create(new, True)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        self._fs.delete(self._pointer, False)
-        if not self._fs.rename(new, self._pointer):
-            raise OSError(f"couldn't move the pointer of {self.path}")
+        pointer = jvm.org.apache.hadoop.fs.Path(f"{self.path}/pointers/v{state['version']:012d}")
+        if self._fs.exists(pointer) or not self._fs.rename(new, pointer):
+            raise OSError(f"version {state['version']} of {self.path} was written by another")
         self.state = state

@@ -112,6 +112,10 @@ def test_store_migrates_once_and_refuses_the_future(spark, tmp_path, monkeypatch
     at = str(tmp_path / "s")
     s = stores.Store(spark, at)
     s.put(keepers=spark.createDataFrame([(1, 2)], "cluster_id long, keeper_file_id long"))
+    other = stores.Store(spark, at)
+    s.put(keepers=spark.createDataFrame([(1, 2)], "cluster_id long, keeper_file_id long"))
+    with pytest.raises(OSError):
+        other.put(keepers=spark.createDataFrame([(9, 9)], "cluster_id long, keeper_file_id long"))
     monkeypatch.setattr(stores, "MIGRATIONS", [lambda t: {"keepers": t["keepers"].selectExpr("cluster_id + 1 as cluster_id", "keeper_file_id")}])
     for _ in range(2):
         newer = stores.Store(spark, at)
