@@ -37,10 +37,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(?P<raw>script|style|template|textarea|title|noscript|iframe|svg)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>"
+    r"|<(?P<raw>script|style|template|textarea|title|noscript|iframe|svg)\b[^<>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|</?[A-Za-z][^<>]*\Z"  # a tag that the end of the page cuts off
-    r"|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>",
+    r"|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^<>]*)>",
     re.DOTALL | re.IGNORECASE,
 )
 _ATTR = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.IGNORECASE)
@@ -188,13 +188,38 @@ def wrapper_of(nodes: list[Node]) -> list:
     return out
 
 
+def alike(a: list, b: list) -> bool:
+    """Whether two wrappers have the same elements."""
+    return a[0] == b[0] and len(a[5]) == len(b[5]) and all(map(alike, a[5], b[5]))
+
+
+def count(a: list) -> int:
+    return 1 + sum(map(count, a[5]))
+
+
+def ends(xs: list, ys: list) -> tuple[int, int]:
+    """How many siblings at the start and at the end of both lists are alike; a best alignment pairs these."""
+    most = min(len(xs), len(ys))
+    lead = 0
+    while lead < most and alike(xs[lead], ys[lead]):
+        lead += 1
+    tail = 0
+    while tail < most - lead and alike(xs[-1 - tail], ys[-1 - tail]):
+        tail += 1
+    return lead, tail
+
+
 def matching(a: list, b: list, memo: dict) -> int:
     """Simple tree matching: the nodes that the best order-keeping alignment of two wrappers pairs."""
     if a[0] != b[0]:
         return 0
     key = (id(a), id(b))
     if key not in memo:
-        memo[key] = 1 + (_table(a[5], b[5], memo)[-1][-1] if a[5] and b[5] else 0)
+        xs, ys = a[5], b[5]
+        lead, tail = ends(xs, ys)
+        same = sum(map(count, xs[:lead])) + sum(map(count, xs[len(xs) - tail :]))
+        xs, ys = xs[lead : len(xs) - tail], ys[lead : len(ys) - tail]
+        memo[key] = 1 + same + (_table(xs, ys, memo)[-1][-1] if xs and ys else 0)
     return memo[key]
 
 
@@ -213,10 +238,15 @@ def aligned(xs: list, ys: list, memo: dict) -> list[tuple[int | None, int | None
     """The pairs of a best alignment of two lists of siblings, unpaired ones with None, in order."""
     if [x[0] for x in xs] == [y[0] for y in ys] and len(set(x[0] for x in xs)) == len(xs):
         return [(i, i) for i in range(len(xs))]
-    table = _table(xs, ys, memo)
-    out, i, j = [], len(xs), len(ys)
+    lead, tail = ends(xs, ys)
+    core, other = xs[lead : len(xs) - tail], ys[lead : len(ys) - tail]
+    out, i, j = [], len(core), len(other)
+    table = _table(core, other, memo) if i and j else None
     while i or j:
-        if i and j and (w := matching(xs[i - 1], ys[j - 1], memo)) and table[i][j] == table[i - 1][j - 1] + w:
+        if table is None:
+            i, j = max(0, i - 1), max(0, j - 1)
+            out.append((i, None) if core else (None, j))
+        elif i and j and (w := matching(core[i - 1], other[j - 1], memo)) and table[i][j] == table[i - 1][j - 1] + w:
             i, j = i - 1, j - 1
             out.append((i, j))
         elif j and table[i][j] == table[i][j - 1]:
@@ -225,7 +255,8 @@ def aligned(xs: list, ys: list, memo: dict) -> list[tuple[int | None, int | None
         else:
             i -= 1
             out.append((i, None))
-    return out[::-1]
+    middle = [(None if p is None else p + lead, None if q is None else q + lead) for p, q in out[::-1]]
+    return [(i, i) for i in range(lead)] + middle + [(len(xs) - k, len(ys) - k) for k in range(tail, 0, -1)]
 
 
 def merged(a: list, b: list, same_page: bool = False) -> list:

@@ -71,6 +71,10 @@ def test_long_and_deep_pages():
     assert len(extract("<p>" + "x " * 500_000, None)) == 999_999
     assert extract("<div>" * 30_000 + "a" + "<span class=ad>" * 999, None) == "a"
     assert extract("<div>" * 300 + "a" + "</div>" * 300, None) == "a"
+    for bad in ("<a ", "<", "<!", "<script ", "<p x='", "&#", "</", '<a x="<'):
+        extract(bad * 30_000, None)
+    long, short = (parse("<body>" + "<h2>t</h2><p>a</p>" * n + "</body>") for n in (8000, 5000))
+    assert trees(merged(wrapper_of([long]), wrapper_of([short]))) == trees(wrapper_of([long]))
     assert extract("<p>a</p>" * 20_000, None).count("a") == 20_000
 
 
