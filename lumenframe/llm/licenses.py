@@ -8,6 +8,7 @@ candidate, which is aligned with its template inside a band.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -134,9 +135,10 @@ class Index:
                 good.append((len(pairs), name, len(pairs) / len(template), places[at[first]][0], places[at[last]][1]))
         out = []
         for n, name, share, s, e in sorted(good, key=lambda x: (-x[0], x[3], x[1])):
-            if all(e <= o[3] or s >= o[4] for o in out):
-                out.append((name, share, n, s, e))
-        return sorted(out, key=lambda o: o[3])
+            at = bisect_right(out, s, key=lambda o: o[3])  # out is in order and without overlaps
+            if (at == 0 or out[at - 1][4] <= s) and (at == len(out) or e <= out[at][3]):
+                out.insert(at, (name, share, n, s, e))
+        return out
 
 
 def align(a: list[int], b: list[int], lo: int, hi: int, slack: int) -> list[tuple[int, int]]:
