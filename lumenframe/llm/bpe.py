@@ -26,8 +26,8 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 #: Bounds of what a worker remembers: encoded stretches of text (the lately used ones once more), and checked pairs.
 MARKS = ".,;:!?"  # few enough that runs of them are few
-KEEP_WORDS, KEEP_PAIRS = 150_000, 500_000
-TRIE_CHARS = 4_000_000  # texts of about this many characters share a trie
+KEEP_WORDS, KEEP_PAIRS = 120_000, 500_000
+TRIE_CHARS = 2_000_000  # texts of about this many characters share a trie
 
 
 def byte_letters() -> dict[str, int]:
