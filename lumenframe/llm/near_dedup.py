@@ -33,7 +33,10 @@ BLOCK_DOCS, BLOCK_WORDS = 256, 1_000_000
 
 
 def labelled(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the runs of k words, each with the number of its earlier occurrences mixed in."""
+    """Hashes of the runs of k words; a repeated run has the number of its earlier occurrences mixed in.
+
+    The first occurrence keeps its plain hash, so that a text with repeats shares it with one without.
+    """
     x = windows(words, k)
     order = np.argsort(x, kind="stable")
     y = x[order]
@@ -43,7 +46,7 @@ def labelled(words: np.ndarray, k: int) -> np.ndarray:
         first = np.maximum.accumulate(np.where(np.concatenate(([False], repeat)), 0, at))
         seen = np.empty(len(y), np.uint64)
         seen[order] = (at - first).astype(np.uint64)
-        x = mix(x + seen * np.uint64(0x9E3779B97F4A7C15))
+        x = np.where(seen == 0, x, mix(x + seen * np.uint64(0x9E3779B97F4A7C15)))
     return x
 
 

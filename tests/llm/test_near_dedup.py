@@ -91,3 +91,13 @@ def test_sketches_feel_order():
 def test_occurrences_are_told_apart():
     x = labelled(np.ones(30, np.uint32), 5)
     assert len(set(x.tolist())) == len(x) == 26
+
+
+def test_a_repeat_on_one_side_only(spark):
+    once = [shaped(40 + i, 500) for i in range(3)]
+    twice = [f"{t} {' '.join(t.split()[60:80])}" for t in once]  # one sentence said twice
+    assert all(max(shingles(t).values()) == 1 for t in once) and all(max(shingles(t).values()) == 2 for t in twice)
+    both = [shaped(70, 100) + " " + "la la la la la la la " + shaped(71, 100)]
+    texts = once + twice + both + [both[0].replace("la la la la la la la", "la la la la")]
+    got = {r.doc_id: r.class_id for r in near_duplicates(documents(spark, texts)).collect()}
+    assert got == brute(texts) == {0: 3, 1: 4, 2: 5, 3: 3, 4: 4, 5: 5, 6: 7, 7: 7}
