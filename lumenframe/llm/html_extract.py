@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .shared import join_checked, materialise, process_cache
 
-#: A slot counts as template when at least so many pages agree on its words.
+#: A slot counts as template when at least so many pages of different articles agree on its words.
 LEAST_PAGES = 4
 SALTS = 64
 #: Elements nested deeper than this stand beside each other instead, so that trees can be walked; none is dropped.
@@ -167,23 +167,24 @@ def runs(node: Node) -> list[list[Node]]:
     return out
 
 
-# A wrapper is [label, pages, words or null, text characters, link characters, children]; words is the digest that
-# all text of the slot has so far, or "" once it varies.
+# A wrapper is [label, articles, words or null, text characters, link characters, children]; words is the digest that
+# all text of the slot has so far, or "" once it varies. articles are the least LEAST_PAGES digests of the articles in
+# which the slot stands, so that copies count once; it is empty for elements and for text outside of an article.
 
 
 def _digest(text: str) -> str:
     return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=9).hexdigest()
 
 
-def wrapper_of(nodes: list[Node]) -> list:
-    """The wrapper of neighbours of one label on one page."""
+def wrapper_of(nodes: list[Node], article: int = 0) -> list:
+    """The wrapper of neighbours of one label on one page, whose article has this digest."""
     first = nodes[0]
     if first.label == "#text":
         text = "\n".join(n.text for n in nodes)
-        return ["#text", 1, _digest(text), len(text), sum(n.links for n in nodes), []]
-    out: list = [first.label, 1, None, 0, 0, []]
+        return ["#text", [] if first.noise else [article], _digest(text), len(text), sum(n.links for n in nodes), []]
+    out: list = [first.label, [], None, 0, 0, []]
     for i, n in enumerate(nodes):
-        children = [wrapper_of(r) for r in runs(n)]
+        children = [wrapper_of(r, article) for r in runs(n)]
         out[5] = children if i == 0 else merged_children(out[5], children, same_page=True)
     return out
 
@@ -262,11 +263,13 @@ def aligned(xs: list, ys: list, memo: dict) -> list[tuple[int | None, int | None
 def merged(a: list, b: list, same_page: bool = False) -> list:
     words = a[2]
     if a[0] == "#text":
+        if bool(a[1]) != bool(b[1]):  # text outside of an article says nothing about that inside
+            return a if a[1] else b
         if same_page:  # stretches of one page, as one
             words = _digest(f"{a[2]}{b[2]}")
         elif a[2] != b[2]:
             words = ""
-    return [a[0], a[1] if same_page else a[1] + b[1], words, a[3] + b[3], a[4] + b[4], merged_children(a[5], b[5], same_page)]
+    return [a[0], sorted({*a[1], *b[1]})[:LEAST_PAGES], words, a[3] + b[3], a[4] + b[4], merged_children(a[5], b[5], same_page)]
 
 
 def merged_children(xs: list, ys: list, same_page: bool = False) -> list:
@@ -274,20 +277,38 @@ def merged_children(xs: list, ys: list, same_page: bool = False) -> list:
 
 
 def varies(wrapper: list) -> bool:
-    """Whether some slot of the wrapper varies."""
-    return wrapper[2] == "" or any(map(varies, wrapper[5]))
+    """Whether some slot of an article varies."""
+    return wrapper[2] == "" and bool(wrapper[1]) or any(map(varies, wrapper[5]))
 
 
 def _holds_article(node: Node) -> bool:
     return any(c.tag in ("article", "main") and not c.noise or _holds_article(c) for c in node.children)
 
 
+def page_wrapper(page: str | None) -> list:
+    """The wrapper of one page; its text outside of the article is marked as noise."""
+    root = parse(page or "")
+    inside = article_texts(root, None)
+    own = {id(n) for n in inside}
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        node.noise |= node.label == "#text" and id(node) not in own
+        todo += node.children
+    digest = hashlib.blake2b("\n".join(n.text for n in inside).encode("utf-8", "replace"), digest_size=6).digest()
+    return wrapper_of([root], int.from_bytes(digest, "big"))
+
+
 def extract(page: str | None, wrapper: list | None) -> str:
     """The text of a page, given its host's wrapper."""
-    root = parse(page or "")
+    return "\n".join(n.text for n in article_texts(parse(page or ""), wrapper))
+
+
+def article_texts(root: Node, wrapper: list | None) -> list[Node]:
+    """The text nodes of a page's article that aren't template in its host's wrapper."""
     within = _holds_article(root)
     learned = wrapper is not None and varies(wrapper)
-    out: list[str] = []
+    out: list[Node] = []
 
     def walk(node: Node, own: list | None, inside: bool) -> None:
         groups = runs(node)
@@ -300,7 +321,7 @@ def extract(page: str | None, wrapper: list | None) -> str:
             for c in group:
                 if c.label == "#text":
                     if inside and not template(group, slot, inside):
-                        out.append(c.text)
+                        out.append(c)
                 elif c.tag in ("article", "main"):
                     if not c.noise:
                         walk(c, slot, True)
@@ -311,14 +332,12 @@ def extract(page: str | None, wrapper: list | None) -> str:
                     walk(c, slot, inside)
 
     def template(group: list[Node], slot: list | None, inside: bool) -> bool:
-        if not learned or slot is None or slot[0] != "#text":
+        if not learned or slot is None or slot[0] != "#text" or len(slot[1]) < LEAST_PAGES:
             return False
-        if slot[2] and slot[1] >= LEAST_PAGES:
-            return True
-        return not within and slot[1] >= LEAST_PAGES and slot[4] > 0.6 * slot[3]
+        return bool(slot[2]) or not within and slot[4] > 0.6 * slot[3]
 
     walk(root, wrapper, not within)
-    return "\n".join(out)
+    return out
 
 
 def host_of(url):
@@ -339,7 +358,7 @@ def induced(pages: DataFrame) -> DataFrame:
         for batch in batches:
             hosts, salts = batch.column("host").to_pylist(), batch.column("salt").to_pylist()
             for i, page in enumerate(batch.column("html")):
-                key, own = (hosts[i], salts[i]), wrapper_of([parse(page.as_py() or "")])
+                key, own = (hosts[i], salts[i]), page_wrapper(page.as_py())
                 held[key] = merged(held[key], own) if key in held else own
                 if len(held) > 2000:  # bounds memory; the rest of these hosts is merged later
                     yield batch_of(list(held.items()))

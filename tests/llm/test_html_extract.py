@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from lumenframe.llm.html_extract import LEAST_PAGES, extract, host_of, main_text, matching, merged, parse, wrapper_of
+from lumenframe.llm.html_extract import LEAST_PAGES, extract, host_of, main_text, matching, merged, page_wrapper, parse, wrapper_of
 from pyspark.sql import functions as F
 
 SCHEMA = "page_id long, url string, html string, text string, host string, wrapper string, salt int"
@@ -114,3 +114,25 @@ def test_host(spark):
     urls = {"http://A.b/c": "a.b", "https://u@x:8080/p?q": "x", "x.y/z": "x.y", None: "", "": "", "http://h#f": "h"}
     df = spark.createDataFrame([(u, h) for u, h in urls.items()], "u string, h string")
     assert all(r.got == r.h for r in df.select("h", host_of(F.col("u")).alias("got")).collect())
+
+
+def of_one_host(pages):
+    whole = page_wrapper(pages[0])
+    for p in pages[1:]:
+        whole = merged(whole, page_wrapper(p))
+    return [extract(p, whole) for p in pages]
+
+
+@pytest.mark.parametrize("copies", [3, LEAST_PAGES, 9])
+def test_copies_under_differing_menus_keep_their_words(copies):
+    pages = [page("T", ["same", "words"], f"<footer>f{i}</footer>", f"menu {i}") for i in range(copies)]
+    assert of_one_host(pages) == ["T\nsame\nwords"] * copies
+    others = [page(f"T{i}", [f"a{i}"]) for i in range(9)]
+    quoted = [page("T", ["same"]).replace("</article>", "<blockquote>q</blockquote></article>")] * copies
+    assert of_one_host(quoted + others) == ["T\nsame\nq"] * copies + [f"T{i}\na{i}" for i in range(9)]
+
+
+def test_a_line_of_different_articles_is_still_template():
+    pages = [page(f"T{i}", [f"a{i}"]).replace("</article>", "<h6>Read on</h6></article>") for i in range(LEAST_PAGES)]
+    assert of_one_host(pages * 2) == [f"T{i}\na{i}" for i in range(LEAST_PAGES)] * 2
+    assert of_one_host(pages[1:] * 2)[0] == "T1\na1\nRead on"
