@@ -38,7 +38,9 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>"
-    r"|<(?P<raw>script|style|template|textarea|title|noscript|iframe|svg)\b[^<>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|template|textarea|title|noscript|iframe|svg)(?=[\s/>])"
+    r"(?:(?<=svg)(?:[^<>\"']++|\"[^<\"]*+\"|'[^<']*+')*+(?<=/)>"  # only svg may close itself
+    r"|[^<>]*>.*?(?:</(?P=raw)\s*>|\Z))"
     r"|</?[A-Za-z][^<>]*\Z"  # a tag that the end of the page cuts off
     r"|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^<>]*)>",
     re.DOTALL | re.IGNORECASE,

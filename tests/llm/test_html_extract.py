@@ -136,3 +136,21 @@ def test_a_line_of_different_articles_is_still_template():
     pages = [page(f"T{i}", [f"a{i}"]).replace("</article>", "<h6>Read on</h6></article>") for i in range(LEAST_PAGES)]
     assert of_one_host(pages * 2) == [f"T{i}\na{i}" for i in range(LEAST_PAGES)] * 2
     assert of_one_host(pages[1:] * 2)[0] == "T1\na1\nRead on"
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ('<article><p>one <svg class="i"/> two</p><p>three</p></article>', "one two\nthree"),
+        ("<p>a<SVG viewBox='0 > 0' />b</p><p>c</p>", "ab\nc"), ("<p>a<svg/>b<svg><path d=x/><text>no</text></svg>c</p>", "abc"),
+        ("<p>a</p><svg-icon name=x></svg-icon><title-bar>t</title-bar><template-card><p>b</p></template-card>", "a\nt\nb"),
+        ("<p>a</p><script src=x />no</script><style>no</style ><p>b</p>", "a\nb"), ("<p>a</p><svg\n><text>no</text></svg\n><p>b", "a\nb"),
+    ],
+)
+def test_elements_that_hold_raw_text_end_where_they_end(html, text):
+    assert extract(html, None) == text
+
+
+def test_unclosed_svgs_take_linear_time():
+    for bad in ("<svg ", "<svg x='", '<svg "/', "<svg/", "<svg-a "):
+        extract(bad * 30_000, None)
