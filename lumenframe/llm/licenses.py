@@ -1,7 +1,8 @@
 """License scan: winnowed fingerprints of templates pick candidates, banded alignment reports coverage and spans.
 
 Templates are cut into runs of a few words; of every window of runs the one of least hash is kept (winnowing), in
-an index from hash to (template, position). A text's runs are looked up there. Hits on nearby diagonals are one
+an index from hash to (template, position). Runs and windows are as short as it takes for a hit in any text that has
+the template with as many edits as its coverage allows, and one at least. A text's runs are looked up there. Hits on nearby diagonals are one
 candidate, which is aligned with its template inside a band.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .shared import arrow_map, process_cache, windows, word_hashes
 
-RUN, WINNOW, COVERAGE = 3, 3, 0.8
+RUN, COVERAGE = 3, 0.8
 
 #: The wording of common notices and licences.
 TEMPLATES: dict[str, list[str]] = {
@@ -67,22 +68,32 @@ def _plain(text: str) -> tuple[list[bytes], list[int]]:
     return words, at
 
 
+def untouched(n: int) -> int:
+    """How many words in a row of a template of n words any find has, where edits fall as badly as they can."""
+    lost = int((1 - COVERAGE) * n + 1e-9)
+    return -(-(n - lost) // (max(1, lost) + 1))  # a word put in between takes none away, but parts two runs
+
+
 class Index:
     """An inverted index of the winnowed fingerprints of templates (name, text)."""
 
     def __init__(self, templates: list[tuple[str, str]]):
         self.templates = []
+        self.runs: set[int] = set()  # the lengths of runs
         found: dict[int, list[tuple[int, int]]] = {}
         for name, text in templates:
             words, _ = _plain(text)
-            if len(words) < RUN:
+            if len(words) < 3:
                 continue
             t = len(self.templates)
             hashes = word_hashes(b" ".join(words))
             self.templates.append((name, hashes.tolist()))
-            runs = windows(hashes, RUN).tolist()
-            for i in range(max(1, len(runs) - WINNOW + 1)):
-                x, at = min((x, j) for j, x in enumerate(runs[i : i + WINNOW], i))
+            run = min(RUN, untouched(len(words)))
+            window = untouched(len(words)) - run + 1
+            runs = windows(hashes, run).tolist()
+            self.runs.add(run)
+            for i in range(max(1, len(runs) - window + 1)):
+                x, at = min((x, j) for j, x in enumerate(runs[i : i + window], i))
                 if (t, at) not in found.setdefault(x, []):
                     found[x].append((t, at))
         self.found = found
@@ -92,13 +103,14 @@ class Index:
 
     def candidates(self, words: np.ndarray) -> list[tuple[int, int, int]]:
         """(template, least start, greatest start) of stretches of text that share fingerprints with a template."""
-        if len(words) < RUN:
-            return []
-        runs = windows(words, RUN)
         starts: dict[int, list[int]] = {}
-        for at in np.flatnonzero(self.marks[(runs >> np.uint64(44)).astype(np.int64)]).tolist():
-            for t, offset in self.found.get(int(runs[at]), ()):
-                starts.setdefault(t, []).append(at - offset)
+        for k in self.runs:
+            if len(words) < k:
+                continue
+            runs = windows(words, k)
+            for at in np.flatnonzero(self.marks[(runs >> np.uint64(44)).astype(np.int64)]).tolist():
+                for t, offset in self.found.get(int(runs[at]), ()):
+                    starts.setdefault(t, []).append(at - offset)
         out = []
         for t, own in starts.items():
             own.sort()

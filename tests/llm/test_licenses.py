@@ -1,7 +1,7 @@
 import pytest
 from helpers import documents, edited, empty, shaped
 
-from lumenframe.llm.licenses import TEMPLATES, Index, align, license_spans
+from lumenframe.llm.licenses import COVERAGE, TEMPLATES, Index, _plain, align, license_spans
 
 ALL = [(n, t) for n, ts in TEMPLATES.items() for t in ts]
 
@@ -42,3 +42,42 @@ def test_operator(spark):
     rows = license_spans(documents(spark, [None, "", line, f"x {line}", "  "])).collect()
     assert [(r.doc_id, r.license, r.start, r.end) for r in rows] == [(2, "CC-BY-NC-4.0", 0, 28), (3, "CC-BY-NC-4.0", 2, 30)]
     assert license_spans(empty(spark)).collect() == []
+
+
+def plainly(template, words):
+    """The share of the template that a longest common subsequence with words has."""
+    row = [0] * (len(words) + 1)
+    for x in template:
+        new = [0]
+        for j, y in enumerate(words):
+            new.append(row[j] + 1 if x == y else max(new[-1], row[j + 1]))
+        row = new
+    return row[-1] / len(template)
+
+
+def changed(words, at, kind, new):
+    return [*words[:at], *[[new], [], [new, words[at]]][kind], *words[at + 1 :]]
+
+
+@pytest.mark.parametrize("name,text", ALL)
+def test_one_edit_at_each_word_is_found_as_by_plain_alignment(name, text):
+    index, words, around = Index([(name, text)]), text.split(), (shaped(1, 30), shaped(2, 30))
+    for at in range(len(words)):
+        for kind in range(3):
+            new = changed(words, at, kind, "zzz")
+            share = plainly(_plain(text)[0], _plain(" ".join(new))[0])
+            found = index.scan(" ".join([around[0], *new, around[1]]))
+            assert [f[1] for f in found] == ([share] if share >= COVERAGE else []), (at, kind)
+
+
+@pytest.mark.parametrize("name,text", ALL)
+def test_as_many_changed_words_as_coverage_allows(name, text):
+    index, words = Index([(name, text)]), _plain(text)[0]
+    words, most = [w.decode() for w in words], int(0.2 * len(words) + 1e-9)
+    for first in range(len(words)):
+        new = list(words)
+        step = max(1, -(-len(words) // (most + 1)))
+        for e in range(most):
+            new[(first + e * step) % len(words)] = f"z{e}"
+        share = plainly([w.encode() for w in words], [w.encode() for w in new])
+        assert share >= COVERAGE and [f[1] for f in index.scan(" ".join(["q", *new, "q"]))] == [share], first
