@@ -26,8 +26,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the runs of [0-9a-f]+ that are long enough
 KINDS = ("assign", "access", "hex", "pem", "der", "openssh", "jwt")
 
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----)[A-Za-z0-9+/=\s:,.-])*+)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----)(?:[A-Za-z0-9+/=\s:,.-]|\\{1,4}[nr/]))*+)-----END \1-----")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Where a key may begin inside a run or go on over lines: a DER sequence of 30 bytes or more, the OpenSSH magic.
+_START = re.compile(r"M[A-I](?=[A-Za-z0-9+/_-]{14})|b3BlbnNzaC1rZXktdjEAAAAA")
+_ESCAPED_END = re.compile(r"\\{1,4}[nr]")
+_ESCAPED_SLASH = re.compile(r"\\{1,4}/")
+_PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
+_BREAK = re.compile(r"(?:\r?\n|(?:\\{1,4}r)?\\{1,4}n)[ \t]*(?=[A-Za-z0-9+/_=-])|\\{1,4}(?=/)")
 _LONG_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{16,})")
 
@@ -83,27 +89,42 @@ def _oid_first(data: bytes, item: tuple[int, int, int]) -> bool:
 
 def openssh_key(data: bytes) -> bool:
     """Whether data is an OpenSSH private key: its magic, and length-prefixed fields that end where it ends."""
+    return openssh_size(data) == len(data) > 0
+
+
+def openssh_size(data: bytes) -> int:
+    """How many bytes the OpenSSH private key takes that data begins with, 0 if it begins with none.
+
+    Negative where data ends too early: at least so many bytes are needed.
+    """
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
-        return False
+        return 0
     at = len(magic)
 
     def field() -> bytes | None:
         nonlocal at
         if at + 4 > len(data):
+            at += 4
             return None
         (size,) = struct.unpack(">I", data[at : at + 4])
         at += 4 + size
         return data[at - size : at] if at <= len(data) else None
 
-    cipher, kdf, options = field(), field(), field()
-    if None in (cipher, kdf, options) or not cipher or at + 4 > len(data):
-        return False
+    cipher = field()
+    kdf = None if cipher is None else field()
+    options = None if kdf is None else field()
+    if at > len(data) or None in (cipher, kdf, options):
+        return -at
+    if not cipher:
+        return 0
+    if at + 4 > len(data):
+        return -at - 4
     (keys,) = struct.unpack(">I", data[at : at + 4])
     at += 4
-    if not 1 <= keys <= 16 or any(field() is None for _ in range(keys)):
-        return False
-    return field() is not None and at == len(data)
+    if not 1 <= keys <= 16:
+        return 0
+    return at if all(field() is not None for _ in range(keys + 1)) else -at
 
 
 def decoded(run: str) -> bytes | None:
@@ -125,6 +146,55 @@ def key_kind(data: bytes | None) -> str | None:
     return "der" if data[0] == 0x30 and der_key(data) else None
 
 
+def key_at(text: str, start: int) -> tuple[str, int] | None:
+    """The kind and the end of the key in base64 that begins at start, by the length that it states itself.
+
+    It may go on over lines, real or escaped; what follows it must not be base64.
+    """
+    ssh = text[start] == "b"
+    size = -24 if ssh else der_size(decoded(text[start : start + 16]) or b"")
+    if not ssh and size < 30:
+        return None
+    parts, have, at = [], 0, start
+    while True:
+        chars = -(-abs(size) * 4 // 3)
+        if chars > len(text) - start:
+            return None
+        while have < chars:
+            if m := _PIECE.match(text, at, at + chars - have):
+                parts.append(m[0])
+                have, at = have + len(m[0]), m.end()
+            elif m := _BREAK.match(text, at):
+                at = m.end()
+            else:
+                return None
+        data = decoded("".join(parts))
+        if size > 0 or not data:
+            break
+        size = openssh_size(data)
+        if size >= 0:
+            break
+    kind = key_kind(data)
+    if not kind or _PIECE.match(text, at):
+        return None
+    while chars % 4 and text.startswith("=", at):
+        chars, at = chars + 1, at + 1
+    return kind, at
+
+
+def der_size(head: bytes) -> int:
+    """The bytes of the DER sequence that begins with head and holds a version or a sequence first, else 0."""
+    if len(head) < 9 or head[0] != 0x30:
+        return 0
+    n = head[1] & 0x7F if head[1] & 0x80 else 0
+    if n > 4 or head[1] == 0x80:
+        return 0
+    inner = head[2 + n : 5 + n]
+    if inner[:1] != b"\x30" and inner not in (b"\2\1\0", b"\2\1\1"):
+        return 0
+    return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+
+
 def signed_token(head: str, body: str, signature: str) -> bool:
     """Whether the three parts are a signed token: a JSON header with an algorithm, a JSON body, a signature."""
     raw = decoded(head)
@@ -159,7 +229,8 @@ def structural_spans(text: str) -> list[tuple[int, int, int]]:
     out = []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            lines = [x for x in m[2].split("\n") if ":" not in x]
+            whole = _ESCAPED_SLASH.sub("/", _ESCAPED_END.sub("\n", m[2]))
+            lines = [x for x in whole.split("\n") if ":" not in x]
             body = "".join("".join(lines).split())
             if "ENCRYPTED" in m[2] or key_kind(decoded(body)):
                 out.append((m.start(), 3, m.end()))
@@ -169,6 +240,15 @@ def structural_spans(text: str) -> list[tuple[int, int, int]]:
             kind = key_kind(decoded(run))
             if kind:
                 out.append((m.start(), KINDS.index(kind), m.end()))
+    known, near, past = sorted((s, e) for s, _, e in out), 0, 0
+    for m in _START.finditer(text):
+        while near < len(known) and known[near][1] <= m.start():
+            near += 1
+        if m.start() < past or near < len(known) and known[near][0] <= m.start():
+            continue  # inside a find
+        if found := key_at(text, m.start()):
+            past = found[1]
+            out.append((m.start(), KINDS.index(found[0]), past))
     for m in _LONG_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and (kind := key_kind(bytes.fromhex(m[0]))):
             out.append((m.start(), KINDS.index(kind), m.end()))

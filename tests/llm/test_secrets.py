@@ -92,3 +92,33 @@ def test_operator(spark):
         assert rows[i].base_sha256 == hashlib.sha256(",".join(f"{list(PLAIN)[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest()
     assert rows[4].spans == f"assign:2:{8 + len(token)},jwt:8:{8 + len(token)}" and rows[4].n_structural == 1
     assert secret_spans(empty(spark)).collect() == []
+
+
+def wrapped(data, end="\n", width=64):
+    t = b64(data)
+    return end.join(t[i : i + width] for i in range(0, len(t), width))
+
+
+@pytest.mark.parametrize("end", ["\\n", "\\r\\n", "\\\\n", "\r\n"])
+@pytest.mark.parametrize("data", [RSA, EC, PKCS8, SSH])
+def test_keys_in_strings_with_escaped_line_ends(data, end):
+    pem = f"-----BEGIN PRIVATE KEY-----{end}{wrapped(data, end)}{end}-----END PRIVATE KEY-----"
+    assert kinds('{"private_key": "' + pem + end + '", "x": 1}')[0] == (3, pem)
+    php = pem.replace("/", "\\/")
+    assert kinds('{"private_key": "' + php + '"}')[0] == (3, php)
+
+
+@pytest.mark.parametrize("data,kind", [(RSA, 4), (EC, 4), (PKCS8, 4), (ENCRYPTED, 4), (SSH, 5)])
+def test_wrapped_and_glued_keys(data, kind):
+    for end in ("\n", "\r\n", "\\n", "\n    "):
+        text = wrapped(data, end)
+        assert kinds(f"key:{end}{text}{end}Then some prose.") == [(kind, text)], end
+    for glue in ("/", "_", "x", "key_", "/etc/MI", "MII", "nM"):
+        assert kinds(f"a {glue}{b64(data)} end") == [(kind, b64(data))], glue
+        assert kinds(f"a {glue}{b64(data).rstrip('=')}") == [(kind, b64(data).rstrip("="))], glue
+    assert kinds(wrapped(data[:-1])) == []
+
+
+def test_many_starts_take_linear_time():
+    for bad in ("MI", "MIIEvQIBADAN", "b3BlbnNzaC1rZXktdjEAAAAA", "-----BEGIN PRIVATE KEY-----\\n", "\\"):
+        assert structural_spans(bad * 20_000) == []
