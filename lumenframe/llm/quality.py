@@ -119,15 +119,18 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-3, s
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS, folds: int = 4, held_out: int = 2) -> Ranker:
-    """Fit on at most ``rows`` labelled documents, those of the least hash whose fold isn't held out."""
+    """Fit on at most ``rows`` labelled documents, those of the least hash whose fold isn't held out.
+
+    An id that repeats in docs counts once, by the least features of its texts.
+    """
     train = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (fold(id_col, folds) != held_out)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__y"))
     some = materialise(train.orderBy(F.xxhash64("__id"), "__id").limit(rows), "labels")
     found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(some), "__id")
-    schema = pa.schema([("y", pa.int32()), ("x", pa.list_(pa.float64()))])
-    measured = found.select(F.col("__text").alias("text"), F.col("__y").cast("int").alias("y"), "__id").mapInArrow(
-        arrow_map(lambda b: {"y": b.column("y"), "x": [features(t.as_py()) for t in b.column("text")]}, schema), "y int, x array<double>"
+    schema = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("x", pa.list_(pa.float64()))])
+    measured = found.select(F.col("__text").alias("text"), F.col("__y").cast("int").alias("y"), F.xxhash64("__id").alias("id")).mapInArrow(
+        arrow_map(lambda b: {"id": b.column("id"), "y": b.column("y"), "x": [features(t.as_py()) for t in b.column("text")]}, schema), "id long, y int, x array<double>"
     )
-    got = measured.orderBy("y", "x").limit(2 * rows).collect()  # bounded; ids may repeat in docs
+    got = measured.groupBy("id").agg(F.max("y").alias("y"), F.min("x").alias("x")).orderBy("y", "x").collect()  # a row an id
     return fit(np.array([r.x for r in got]).reshape(-1, len(FEATURES)), np.array([r.y for r in got]))
 
 

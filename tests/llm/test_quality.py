@@ -64,3 +64,10 @@ def test_features_of_extremes():
     for text in (None, "", "  \n", "x", "É" * 9, "a " * 100_000, "\ud800", "🎉"):
         got = features(text)
         assert len(got) == len(FEATURES) and np.isfinite(got).all()
+
+
+def test_repeated_rows_change_nothing(spark):
+    texts = [f"some good words number {i}, here." if i % 2 else f"$$ {i} | | {i}" for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    once, often = (fit_on_labels(documents(spark, texts * n, [*range(60)] * n), labels, rows=30) for n in (1, 9))
+    assert once == often and any(often.weights)
