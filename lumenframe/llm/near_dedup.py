@@ -1,10 +1,12 @@
-"""Near-duplicate classes by Order MinHash over five-word shingles, verified by shingle overlap and banded alignment.
+"""Near-duplicate classes by Order MinHash over five-word shingles, verified by banded alignment.
 
 A sketch takes the few least of a document's occurrence-labelled shingles under one hash order and keeps them in
 the order of the text, so two documents agree on it only if they share these shingles in the same order. Sharing
-one sketch makes two documents candidates. A link is a candidate pair whose labelled shingles overlap by
-``similarity`` (Jaccard) and whose words align with at most ``1 - similarity`` edits a word; classes are the
-connected components of the links.
+one sketch makes two documents candidates. A link is a candidate pair whose words align with at most
+``1 - similarity`` edits for each word of the longer one; nothing else decides. Classes are the connected components of the links.
+
+Before a pair is aligned it must pass two tests that no link can fail: the lengths differ by no more than the edits
+allowed, and the texts share enough pairs of neighbouring words (an edit touches at most two of them).
 
 Candidates aren't all emitted: (1) texts with equal words are one representative; (2) every member of a sketch's
 bucket is compared with the bucket's leader, which closes groups of copies in linear work; (3) buckets that still
@@ -22,13 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .alignment import banded_distance
-from .shared import arrow_map, forget, join_checked, materialise, mix, normal_words, windows, word_hashes
+from .alignment import banded_distance, trimmed
+from .shared import arrow_map, forget, join_checked, materialise, mix, normal_words, text_digest, windows, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SKETCHES = 20  # at a similarity of 0.8 a pair misses all of them once in 1.7 million times
-ORDERED = 3
+SKETCHES = 64  # a pair with every fifth word changed, scattered evenly, misses all of them once in 14 times; one with every seventh, once in a thousand
+ORDERED = 2
+GRAM = 2  # words of a run by which pairs are tested before they are aligned
 BLOCK_DOCS, BLOCK_WORDS = 256, 1_000_000
 
 
@@ -61,7 +64,10 @@ def order_sketches(x: np.ndarray, sketches: int, ordered: int) -> np.ndarray:
     for s in range(0, sketches, step):
         n = min(step, sketches - s)
         h = (x[None, :] ^ seeds[s : s + n, None]) * (seeds[sketches + s : sketches + s + n, None] | np.uint64(1))
-        at = np.argpartition(h, take - 1, axis=1)[:, :take] if take < len(x) else np.tile(np.arange(take), (n, 1))
+        rows, at = np.arange(n), np.empty((n, take), np.int64)
+        for t in range(take):
+            at[:, t] = h.argmin(axis=1)
+            h[rows, at[:, t]] = np.uint64(0xFFFFFFFFFFFFFFFF)
         at.sort(axis=1)
         key = np.arange(s + 1, s + n + 1, dtype=np.uint64)
         for t in range(take):
@@ -70,57 +76,90 @@ def order_sketches(x: np.ndarray, sketches: int, ordered: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether the words align within the band that the similarity allows."""
-    most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
-    return banded_distance(a, b, most) <= most
+def budget(n: int, similarity: float) -> int:
+    """The edits that a link may have whose longer text has n words."""
+    return int((1 - similarity) * n + 1e-9)
 
 
-def linked(a: np.ndarray, b: np.ndarray, k: int, similarity: float) -> bool:
-    x, y = labelled(a, k), labelled(b, k)
-    common = len(np.intersect1d(x, y, assume_unique=True))
-    return common >= similarity * (len(x) + len(y) - common) - 1e-9 and alike(a, b, similarity)
+def edits(a: np.ndarray, b: np.ndarray, similarity: float) -> int | None:
+    """The words to change, add or drop to turn a into b; None where there are more than the similarity allows.
+
+    The band begins narrow and grows, so that alike texts cost little whatever their length.
+    """
+    most = budget(max(len(a), len(b)), similarity)
+    a, b = trimmed(a, b)
+    band = 16
+    while True:
+        band = min(band, most)
+        found = banded_distance(a, b, band)
+        if found <= band:
+            return found
+        if band == most:
+            return None
+        band *= 4
+
+
+def least_common(n: int, similarity: float) -> int:
+    """How many labelled runs of GRAM words a link at least shares whose longer text has n words."""
+    return n - GRAM + 1 - GRAM * budget(n, similarity)
+
+
+def linked(a: np.ndarray, b: np.ndarray, similarity: float) -> int | None:
+    """The edits between the words a and b where they link, else None."""
+    n = max(len(a), len(b))
+    if n - min(len(a), len(b)) > budget(n, similarity):
+        return None
+    if len(np.intersect1d(labelled(a, GRAM), labelled(b, GRAM), assume_unique=True)) < least_common(n, similarity):
+        return None
+    return edits(a, b, similarity)
 
 
 def sketch_documents(docs: DataFrame, id_col: str, text_col: str, k: int, sketches: int, ordered: int) -> DataFrame:
-    """(uid, id, seq, n, words, keys) of each row; seq is a digest of the words, n the number of shingles."""
-    schema = pa.schema([("uid", pa.int64()), ("id", pa.int64()), ("seq", pa.binary()), ("n", pa.int32()), ("words", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    """(uid, id, digest, seq, n, words, keys) of each row.
+
+    digest is of the text as it is and seq of its words, n the number of words, words the words with a space between them.
+    """
+    schema = pa.schema(
+        [("uid", pa.int64()), ("id", pa.int64()), ("digest", pa.binary()), ("seq", pa.binary()), ("n", pa.int32()), ("words", pa.binary()), ("keys", pa.list_(pa.int64()))]
+    )
 
     def sketch(batch: pa.RecordBatch) -> dict:
         out = {f.name: [] for f in schema}
         for text in batch.column("text"):
             norm = normal_words(text.as_py())
-            words = word_hashes(norm).astype(np.uint32)
-            x = labelled(words, k)
+            words = word_hashes(norm)
             out["seq"].append(hashlib.blake2b(norm, digest_size=16).digest())
-            out["n"].append(len(x))
-            out["words"].append(words.tobytes())
-            out["keys"].append(order_sketches(x, sketches, ordered))
-        return out | {"uid": batch.column("uid"), "id": batch.column("id")}
+            out["n"].append(len(words))
+            out["words"].append(norm)
+            out["keys"].append(order_sketches(labelled(words, k), sketches, ordered))
+        return out | {c: batch.column(c) for c in ("uid", "id", "digest")}
 
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(arrow_map(sketch, schema), "uid long, id long, seq binary, n int, words binary, keys array<long>")
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.unhex(text_digest(F.col(text_col))).alias("digest"))
+    return rows.mapInArrow(arrow_map(sketch, schema), "uid long, id long, digest binary, seq binary, n int, words binary, keys array<long>")
 
 
-def _verify_pairs(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) that are links."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _verify_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, distance) of the pairs (a, b) that are links."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.int32())])
 
     def verify(batch: pa.RecordBatch) -> dict:
         a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        keep = []
+        found = []
         for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-            x, y = (np.frombuffer(v.as_py(), np.uint32) for v in (x, y))
-            if linked(x, y, k, similarity):
-                keep.append(i)
-        return {"a": [a[i] for i in keep], "b": [b[i] for i in keep]}
+            d = linked(word_hashes(x.as_py()), word_hashes(y.as_py()), similarity)
+            if d is not None:
+                found.append((a[i], b[i], d))
+        return {f.name: [r[j] for r in found] for j, f in enumerate(schema)}
 
     x, y = (texts.select(F.col("uid").alias(i), F.col("words").alias(w)) for i, w in (("a", "x"), ("b", "y")))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(arrow_map(verify, schema), "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(arrow_map(verify, schema), "a long, b long, distance int")
+
 
+LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.int32()), ("x", pa.int64()), ("y", pa.int64())])
 
-def _block_links(rows: list[tuple], k: int, similarity: float) -> list[tuple[int, int]]:
-    """Links between components from one pair of blocks.
+
+def _block_links(rows: list[tuple], similarity: float) -> list[tuple]:
+    """Links (a, b, distance, component of a, component of b) between components from one pair of blocks.
 
     rows: (uid, comp, block, leads, open keys, words, key). A pair is the work of the least bucket that both are in.
     """
@@ -128,11 +167,12 @@ def _block_links(rows: list[tuple], k: int, similarity: float) -> list[tuple[int
     blocks = np.array([r[2] for r in rows])
     leads = np.array([r[3] for r in rows])
     key = rows[0][6]
-    words = [np.frombuffer(r[5], np.uint32) for r in rows]
-    shingles = [labelled(w, k) for w in words]
-    sizes = np.array([len(x) for x in shingles], np.float64)
-    names, codes = np.unique(np.concatenate(shingles), return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), sizes.astype(int))
+    words = [word_hashes(r[5]) for r in rows]
+    lengths = np.array([len(w) for w in words])
+    grams = [labelled(w, GRAM) for w in words]
+    sizes = np.array([len(x) for x in grams])
+    names, codes = np.unique(np.concatenate(grams), return_inverse=True)
+    owner = np.repeat(np.arange(len(rows)), sizes)
     order = np.argsort(codes, kind="stable")
     codes, owner = codes[order], owner[order]
     common = np.zeros((len(rows), len(rows)), np.float32)
@@ -141,7 +181,9 @@ def _block_links(rows: list[tuple], k: int, similarity: float) -> list[tuple[int
         dense = np.zeros((len(rows), min(4096, len(names) - lo)), np.float32)
         dense[owner[s:e], codes[s:e] - lo] = 1
         common += dense @ dense.T
-    near = common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-6
+    longer = np.maximum(lengths[:, None], lengths[None, :])
+    allowed = np.floor((1 - similarity) * longer + 1e-9)
+    near = (common >= longer - GRAM + 1 - GRAM * allowed) & (np.abs(lengths[:, None] - lengths[None, :]) <= allowed)
     comp = np.unique(comps, return_inverse=True)[1]
     near &= comp[:, None] != comp[None, :]
     near &= ~(leads[:, None] | leads[None, :])  # compared before
@@ -157,36 +199,45 @@ def _block_links(rows: list[tuple], k: int, similarity: float) -> list[tuple[int
     out = []
     for i, j in zip(*np.nonzero(np.triu(near)), strict=True):
         x, y = top(comps[i]), top(comps[j])
-        if x != y and min(set(rows[i][4]) & set(rows[j][4])) == key and alike(words[i], words[j], similarity):
-            root[x] = y
-            out.append((comps[i], comps[j]))
+        if x != y and min(set(rows[i][4]) & set(rows[j][4])) == key:
+            d = edits(words[i], words[j], similarity)
+            if d is not None:
+                root[x] = y
+                out.append((rows[i][0], rows[j][0], d, comps[i], comps[j]))
     return out
 
 
-def near_links(reps: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(node, comp): components of the links between the rows of reps (uid, n, words, keys)."""
-    fits = F.least("n", "lead_n") >= similarity * F.greatest("n", "lead_n") - 1e-9
-    buckets = reps.select("uid", "n", F.explode("keys").alias("key"))
-    first = F.min(F.struct(F.xxhash64("uid", "key").alias("h"), "uid", "n"))
-    stats = buckets.groupBy("key").agg(F.count("*").alias("members"), first.alias("lead")).where("members > 1")
-    stats = materialise(stats.select("key", "members", F.col("lead.uid").alias("lead"), F.col("lead.n").alias("lead_n")), "stats")
-    shared = materialise(join_checked(buckets, stats, "key", "inner", 48), "buckets")
+def near_links(reps: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The rows of reps (uid, n, words, keys) that link: (node, comp), and the links (a, b, distance) that join them.
 
-    texts = reps.select("uid", "words")
-    star = shared.where((F.col("uid") != F.col("lead")) & fits).select(F.least("uid", "lead").alias("a"), F.greatest("uid", "lead").alias("b")).distinct()
+    The links span the components: two texts that a chain of found links joins already aren't compared again.
+    """
+    buckets = reps.select("uid", F.explode("keys").alias("key"))
+    first = F.min(F.col("uid").bitwiseXOR(F.col("key")))  # another order of the rows for each key, which gives the row back
+    stats = buckets.groupBy("key").agg(F.count("*").alias("members"), first.alias("least")).where("members > 1")
+    stats = materialise(stats.select("key", "members", F.col("least").bitwiseXOR(F.col("key")).alias("lead")), "stats")
+    shared = materialise(join_checked(buckets, stats, "key", "inner", 40), "buckets")
+
+    texts = reps.select("uid", "n", "words")
+    pairs = shared.where(F.col("uid") != F.col("lead")).select(F.least("uid", "lead").alias("a"), F.greatest("uid", "lead").alias("b")).distinct()
+    pairs = materialise(pairs, "pairs")
+    x, y = (texts.select(F.col("uid").alias(i), F.col("n").alias(n)) for i, n in (("a", "m"), ("b", "n")))
+    star = pairs.join(x, "a").join(y, "b").where(F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-9).select("a", "b")
     star = materialise(star, "star")
     ends = materialise(star.select(F.col("a").alias("uid")).unionByName(star.select(F.col("b").alias("uid"))).distinct(), "ends")
-    edges = materialise(_verify_pairs(star, join_checked(texts, ends, "uid", "left_semi", 16), k, similarity), "links")
-    comps = components(edges)
+    edges = materialise(_verify_pairs(star, join_checked(texts, ends, "uid", "left_semi", 16), similarity), "links")
+    comps = components(edges.select("a", "b"))
 
     name = comps.select(F.col("node").alias("uid"), "comp")
-    members = materialise(join_checked(shared.where("members > 2"), name, "uid", "left", 24).select("key", "uid", "n", (F.col("uid") == F.col("lead")).alias("leads"), F.coalesce("comp", "uid").alias("comp")), "members")
-    spread = members.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.col("n").cast("long")).alias("w"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    spread = spread.where("lo <> hi").select("key", F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("w") / BLOCK_WORDS)).cast("int").alias("parts"))
-    spread = materialise(spread, "spread")
-    still = materialise(join_checked(members, spread, "key", "inner", 24).withColumn("block", F.pmod(F.xxhash64("uid", "key"), F.col("parts")).cast("int")), "open")
+    members = materialise(join_checked(shared.where("members > 2"), name, "uid", "left", 24).select("key", "uid", (F.col("uid") == F.col("lead")).alias("leads"), F.coalesce("comp", "uid").alias("comp")), "members")
+    mixed = materialise(members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "mixed")
+    sized = join_checked(members, mixed, "key", "left_semi", 16).join(texts.select("uid", "n"), "uid")
+    sized = materialise(sized, "sized")
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum(F.col("n").cast("long")) / BLOCK_WORDS)).cast("int")
+    spread = materialise(sized.groupBy("key").agg(parts.alias("parts")), "spread")
+    still = materialise(join_checked(sized, spread, "key", "inner", 24).withColumn("block", F.pmod(F.xxhash64("uid", "key"), F.col("parts")).cast("int")), "open")
     keys = materialise(still.groupBy("uid").agg(F.collect_list("key").alias("open")), "keys")  # at most a key per sketch
-    held = join_checked(texts, keys, "uid", "inner", 24 + 8 * F.size("open"))
+    held = join_checked(texts.select("uid", "words"), keys, "uid", "inner", 24 + 8 * F.size("open"))
     other = F.explode(F.expr("sequence(0, parts - 1)"))
     dealt = still.select("key", "uid", "comp", "block", "leads", other.alias("other"))
     dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "uid", "comp", "block", "leads")
@@ -201,57 +252,83 @@ def near_links(reps: DataFrame, k: int, similarity: float) -> DataFrame:
             for i, now in enumerate(zip(*cols, strict=True)):
                 if now != at:
                     if len(rows) > 1:
-                        out += _block_links(rows, k, similarity)
+                        out += _block_links(rows, similarity)
                     rows, at = [], now
                 rows.append((*(c[i] for c in rest), now[0]))
-            yield _pairs(out)
+            yield _link_batch(out)
             out = []
         if len(rows) > 1:
-            yield _pairs(_block_links(rows, k, similarity))
+            yield _link_batch(_block_links(rows, similarity))
 
-    more = materialise(together.mapInArrow(compare, "a long, b long"), "more")
-    over = components(more)
+    more = materialise(together.mapInArrow(compare, "a long, b long, distance int, x long, y long"), "more")
+    over = components(more.select(F.col("x").alias("a"), F.col("y").alias("b")))
     again = over.select(F.col("node").alias("comp"), F.col("comp").alias("final"))
     known = name.unionByName(over.select(F.col("node").alias("uid"), F.col("node").alias("comp")).join(name.select("uid"), "uid", "left_anti"))
     out = materialise(known.join(again, "comp", "left").select(F.col("uid").alias("node"), F.coalesce("final", "comp").alias("comp")), "classes")
-    forget(stats, shared, star, ends, edges, comps, members, spread, still, keys, more, over)
-    return out
+    links = materialise(edges.unionByName(more.select("a", "b", "distance")).distinct(), "found")
+    forget(stats, shared, pairs, star, ends, edges, comps, members, mixed, sized, spread, still, keys, more, over)
+    return out, links
 
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+def _link_batch(found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], f.type) for i, f in enumerate(LINK)], schema=LINK)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY, sketches: int = SKETCHES, ordered: int = ORDERED) -> DataFrame:
-    """Near-duplicate class of every row of docs: (id_col, class_id, class_size, kept).
+    """Near-duplicate class of every row of docs: (id_col, class_id, class_size, kept, links, nearest, text_digest).
 
     class_id is the largest id of the class and kept marks its row; of repeated rows with that id, one is kept.
+    links is the number of other texts to which a verified link joins this row's text, nearest the fewest word edits
+    of such a link (null without one). Links span the class; a pair whose texts other links join already may be left
+    out, so links counts those that were needed, and rows of equal words share it. text_digest is the MD5 of the text.
+
     Words are lower-cased and split at white space; texts of equal words are one class whatever their length, so
     null, empty and blank texts are one class of their own. A text of fewer than k words has one shingle, all its
-    words, and so links only to equal texts. A null id counts as the smallest. Other columns are not read; an empty
-    table gives an empty result.
+    words, and so links only to equal texts. Ids are cast to long. A null id counts as the smallest. Other columns
+    are not read; an empty table gives an empty result.
+    """
+    member, links = _members(docs, id_col, text_col, k, similarity, sketches, ordered)
+    classes = member.groupBy("class").agg(F.max(F.struct("id", "uid")).alias("best"), F.count("*").alias("size")).where("size > 1")
+    classes = materialise(classes.select("class", F.col("best.id").alias("top_id"), F.col("best.uid").alias("top_uid"), "size"), "sizes")
+    ends = links.select(F.col("a").alias("rep"), "distance").unionByName(links.select(F.col("b").alias("rep"), "distance"))
+    degree = materialise(ends.groupBy("rep").agg(F.count("*").alias("links"), F.min("distance").alias("nearest")), "degrees")
+    out = join_checked(join_checked(member, classes, "class", "left", 40), degree, "rep", "left", 32)
+    return out.select(
+        F.col("id").alias(id_col),
+        F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("top_id")).alias("class_id"),
+        F.coalesce("size", F.lit(1)).cast("long").alias("class_size"),
+        (F.coalesce("top_uid", "uid") == F.col("uid")).alias("kept"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("links"),
+        "nearest",
+        F.lower(F.hex("digest")).alias("text_digest"),
+    )
+
+
+def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY, sketches: int = SKETCHES, ordered: int = ORDERED) -> DataFrame:
+    """The verified links between different texts that span the classes: (a_id, b_id, distance).
+
+    Each end is the largest id among the rows of that text, a_id the lesser; distance is in words. Cases as in near_duplicates.
     """
+    member, links = _members(docs, id_col, text_col, k, similarity, sketches, ordered)
+    ids = member.where("uid = rep").select("uid", "id")
+    named = links.join(ids.select(F.col("uid").alias("a"), F.col("id").alias("p")), "a").join(ids.select(F.col("uid").alias("b"), F.col("id").alias("q")), "b")
+    return named.select(F.least("p", "q").alias("a_id"), F.greatest("p", "q").alias("b_id"), "distance")
+
+
+def _members(docs: DataFrame, id_col: str, text_col: str, k: int, similarity: float, sketches: int, ordered: int) -> tuple[DataFrame, DataFrame]:
+    """(uid, id, digest, rep, class) of every row, rep the uid of the row that stands for its words; and the links."""
     table = materialise(sketch_documents(docs, id_col, text_col, k, sketches, ordered), "sketches")
-    best = F.max(F.struct("id", "uid"))
-    groups = table.groupBy("seq").agg(best.alias("best"), F.count("*").alias("copies")).where("copies > 1")
+    groups = table.groupBy("seq").agg(F.max(F.struct("id", "uid")).alias("best"), F.count("*").alias("copies")).where("copies > 1")
     groups = materialise(groups.select("seq", F.col("best.uid").alias("rep")), "equal")
-    plain = table.select("uid", "id", "seq")
-    owner = join_checked(plain, groups, "seq", "left", 32).select("uid", "id", F.coalesce("rep", "uid").alias("rep"))
+    plain = table.select("uid", "id", "digest", "seq")
+    owner = join_checked(plain, groups, "seq", "left", 32).select("uid", "id", "digest", F.coalesce("rep", "uid").alias("rep"))
     owner = materialise(owner, "owners")
     copies = materialise(owner.where("uid <> rep").select("uid"), "copies")
     reps = join_checked(table.select("uid", "n", "words", "keys"), copies, "uid", "left_anti", 16)
 
-    comps = near_links(reps, k, similarity)
+    comps, links = near_links(reps, similarity)
     to = comps.select(F.col("node").alias("rep"), "comp")
-    member = join_checked(owner, to, "rep", "left", 24).select("uid", "id", F.coalesce("comp", "rep").alias("class"))
+    member = join_checked(owner, to, "rep", "left", 24).select("uid", "id", "digest", "rep", F.coalesce("comp", "rep").alias("class"))
     member = materialise(member, "members")
-    classes = member.groupBy("class").agg(best.alias("best"), F.count("*").alias("size")).where("size > 1")
-    classes = materialise(classes.select("class", F.col("best.id").alias("top_id"), F.col("best.uid").alias("top_uid"), "size"), "sizes")
-    forget(table)
-    out = join_checked(member, classes, "class", "left", 40)
-    return out.select(
-        F.col("id").alias(id_col),
-        F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("top_id")).alias("class_id"),
-        F.coalesce("size", F.lit(1)).cast("long").alias("class_size"),
-        (F.coalesce("top_uid", "uid") == F.col("uid")).alias("kept"),
-    )
+    forget(table, groups, owner, copies, comps)
+    return member, links

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import string
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import forget, join_checked, materialise, scratch_path
 
-__all__ = ["arrow_map", "forget", "join_checked", "materialise", "mix", "normal_words", "process_cache", "scratch_path", "survivors", "windows", "word_hashes"]
+__all__ = ["arrow_map", "forget", "join_checked", "materialise", "mix", "normal_words", "process_cache", "scratch_path", "survivors", "text_digest", "windows", "word_hashes"]
 
 
 def process_cache(key: tuple, build: Callable):
@@ -24,20 +25,36 @@ def process_cache(key: tuple, build: Callable):
     return store.items[key]
 
 
-def survivors(docs: DataFrame, decisions: DataFrame, id_col: str) -> DataFrame:
-    """The rows of docs that decisions (id_col, kept boolean, a row for each of docs) keep.
+def text_digest(text: Column) -> Column:
+    """The MD5 of a text as it is; null is empty."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
-    Only ids of dropped rows are joined. Of rows repeated under one id, of which some are kept, one stays. Rows
-    with a null id stay.
+
+def folded_digest(text: Column) -> Column:
+    """The SHA-256 of a text with A-Z lower-cased; null is empty."""
+    return F.sha2(F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase), 256)
+
+
+def survivors(docs: DataFrame, decisions: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """The rows of docs that decisions (id_col, kept boolean, text_digest or text_sha256; a row for each of docs) keep.
+
+    A row is known by its id, null included, and its text, so of texts repeated under one id each is decided by
+    itself. Of rows alike in both, of which one is kept, one stays.
     """
-    by_id = decisions.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max("kept").alias("__some"), F.min("kept").alias("__all"))
-    partly = materialise(by_id.where("not __all"), "dropped")
-    gone, twice = partly.where("not __some").select("__id"), partly.where("__some").select("__id")
-    out = join_checked(docs, gone, docs[id_col] == F.col("__id"), "left_anti", 16)
+    key, digest = ("text_digest", text_digest) if "text_digest" in decisions.columns else ("text_sha256", folded_digest)
+    by_row = decisions.groupBy(F.col(id_col).alias("__id"), F.col(key).alias("__key")).agg(F.max("kept").alias("__some"), F.min("kept").alias("__all"))
+    partly = materialise(by_row.where("not __all"), "dropped")
+    gone, twice = partly.where("not __some").select("__id", "__key"), partly.where("__some").select("__id", "__key")
+
+    def same(left: DataFrame) -> Column:
+        return left[id_col].cast("long").eqNullSafe(F.col("__id")) & (digest(left[text_col]) == F.col("__key"))
+
+    out = join_checked(docs, gone, same(docs), "left_anti", 80)
     if not twice.take(1):
         return out
-    same = join_checked(out, twice, out[id_col] == F.col("__id"), "left_semi", 16).dropDuplicates([id_col])
-    return join_checked(out, twice, out[id_col] == F.col("__id"), "left_anti", 16).unionByName(same)
+    again = join_checked(out, twice, same(out), "left_semi", 80)
+    again = again.withColumn("__key", digest(again[text_col])).dropDuplicates([id_col, "__key"]).drop("__key")
+    return join_checked(out, twice, same(out), "left_anti", 80).unionByName(again)
 
 
 def arrow_map(fn: Callable[[pa.RecordBatch], dict | None], schema: pa.Schema):

@@ -4,6 +4,7 @@ from functools import partial
 
 import pytest
 from helpers import documents
+from pyspark.sql import functions as F
 from test_exact_dedup import TEXTS
 from test_exact_dedup import brute as equal
 from test_near_dedup import brute as near
@@ -39,6 +40,7 @@ def test_pages(spark):
 
 
 def test_survivors(spark):
-    docs = spark.createDataFrame([(1, "a"), (2, "b"), (2, "B"), (3, "c"), (None, "d")], "doc_id long, text string")
-    decisions = spark.createDataFrame([(1, False), (2, True), (2, False), (3, True), (None, False)], "doc_id long, kept boolean")
-    assert sorted((r.doc_id or 0) for r in shared.survivors(docs, decisions, "doc_id").collect()) == [0, 2, 3]
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (2, "B"), (3, "c"), (None, "d"), (4, "e"), (4, "f"), (2, "b")], "doc_id long, text string")
+    rows = [(1, "a", False), (2, "b", True), (2, "B", False), (3, "c", True), (None, "d", False), (4, "e", False), (4, "f", True), (2, "b", False)]
+    decisions = spark.createDataFrame(rows, "doc_id long, t string, kept boolean").withColumn("text_digest", shared.text_digest(F.col("t")))
+    assert sorted((r.doc_id, r.text) for r in shared.survivors(docs, decisions, "doc_id").collect()) == [(2, "b"), (3, "c"), (4, "f")]
