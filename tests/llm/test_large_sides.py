@@ -16,7 +16,7 @@ from lumenframe.scratch import join_checked
 
 @pytest.fixture(autouse=True)
 def nothing_is_small(monkeypatch):
-    for module in (exact_dedup, html_extract, near_dedup, shared, warc):
+    for module in (exact_dedup, near_dedup, shared, warc):
         monkeypatch.setattr(module, "join_checked", partial(join_checked, limit=-1))
 
 
@@ -34,7 +34,7 @@ def test_near(spark):
 def test_pages(spark):
     rows = [(i, f"http://h{i % 3}/", f"<div>same</div><p>text {i % 7}</p>") for i in range(30)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    assert {r.page_id: r.text for r in html_extract.main_text(df).collect()} == {i: f"text {i % 7}" for i in range(30)}
+    assert {r.page_id: r.text for r in html_extract.main_text(df, broadcast_bytes=-1).collect()} == {i: f"text {i % 7}" for i in range(30)}
     kinds = [r.record_type for r in warc.archived(df).collect()]
     assert kinds.count("response") == len({h for *_, h in rows})
 
