@@ -2,7 +2,10 @@
 
 Runs of base64 or hex are decoded and reported only if what they hold parses to its end: a DER key (nested lengths
 that add up, the shape of a known key kind), an OpenSSH private key, a PEM block around either, or a signed token
-whose header names an algorithm.
+whose header names an algorithm. A PEM block whose body is enciphered counts if its headers name a known cipher, the
+starting vector has that cipher's size and the body decodes to whole blocks of it.
+
+A key may begin anywhere inside a run, go on over lines, real or escaped, and be written in hex with colons.
 """
 
 from __future__ import annotations
@@ -27,14 +30,23 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # the runs of [0-9a-f]+ that are long enough
 KINDS = ("assign", "access", "hex", "pem", "der", "openssh", "jwt")
 
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----)(?:[A-Za-z0-9+/=\s:,.-]|\\{1,4}[nr/]))*+)-----END \1-----")
-_RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 #: Where a key may begin inside a run or go on over lines: a DER sequence of 30 bytes or more, the OpenSSH magic.
 _START = re.compile(r"M[A-I](?=[A-Za-z0-9+/_-]{14})|b3BlbnNzaC1rZXktdjEAAAAA")
 _ESCAPED_END = re.compile(r"\\{1,4}[nr]")
 _ESCAPED_SLASH = re.compile(r"\\{1,4}/")
 _PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
 _BREAK = re.compile(r"(?:\r?\n|(?:\\{1,4}r)?\\{1,4}n)[ \t]*(?=[A-Za-z0-9+/_=-])|\\{1,4}(?=/)")
-_LONG_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
+#: The head of a DER key in hex: a sequence, its length, a version or another sequence; or the OpenSSH magic.
+_HEX_START = re.compile(
+    r"30(?P<s>:?)(?:[0-7][0-9a-f]|81(?P=s)[0-9a-f]{2}|82(?:(?P=s)[0-9a-f]{2}){2}|83(?:(?P=s)[0-9a-f]{2}){3})(?P=s)(?:02(?P=s)01(?P=s)0[01]|30)"
+    r"|6f(?P<t>:?)70" + "".join(rf"(?P=t){b:02x}" for b in b"enssh-key-v1"),
+    re.IGNORECASE,
+)
+_HEX_BYTE = re.compile(r"[0-9A-Fa-f]{2}")
+_HEX_BREAK = re.compile(r":?(?:\r?\n|(?:\\{1,4}r)?\\{1,4}n)[ \t]*|:")
+_DEK = re.compile(r"^DEK-Info: ?([A-Z0-9-]+),([0-9A-Fa-f]+)\s*$", re.MULTILINE)
+#: Bytes a block of the ciphers that PEM headers name.
+BLOCKS = {"DES-CBC": 8, "DES-EDE3-CBC": 8, "AES-128-CBC": 16, "AES-192-CBC": 16, "AES-256-CBC": 16}
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{16,})")
 
 
@@ -182,6 +194,35 @@ def key_at(text: str, start: int) -> tuple[str, int] | None:
     return kind, at
 
 
+def hex_key_at(text: str, start: int) -> tuple[str, int] | None:
+    """The kind and the end of the key in hex that begins at start; what follows it must not be hex."""
+    data, at, need = bytearray(), start, 16
+    while True:
+        while len(data) < need:
+            m = _HEX_BYTE.match(text, at)
+            if m is None and data and (gap := _HEX_BREAK.match(text, at)):
+                m = _HEX_BYTE.match(text, gap.end())
+            if m is None:
+                return None
+            data += bytes.fromhex(m[0])
+            at = m.end()
+        size = der_size(bytes(data[:16])) if data[0] == 0x30 else openssh_size(bytes(data))
+        if size == 0 or abs(size) > len(text) or len(data) > abs(size):
+            return None
+        if len(data) == size:
+            break
+        need = abs(size)
+    kind = key_kind(bytes(data))
+    return None if not kind or _HEX_BYTE.match(text, at) else (kind, at)
+
+
+def enciphered(headers: str, data: bytes | None) -> bool:
+    """Whether a PEM body is whole blocks of the cipher that its headers name, with a starting vector of its size."""
+    m = _DEK.search(headers)
+    size = BLOCKS.get(m[1]) if m else None
+    return bool(data) and size is not None and "4,ENCRYPTED" in headers and len(data) % size == 0 and len(data) >= 16 and len(m[2]) == 2 * size
+
+
 def der_size(head: bytes) -> int:
     """The bytes of the DER sequence that begins with head and holds a version or a sequence first, else 0."""
     if len(head) < 9 or head[0] != 0x30:
@@ -232,14 +273,9 @@ def structural_spans(text: str) -> list[tuple[int, int, int]]:
             whole = _ESCAPED_SLASH.sub("/", _ESCAPED_END.sub("\n", m[2]))
             lines = [x for x in whole.split("\n") if ":" not in x]
             body = "".join("".join(lines).split())
-            if "ENCRYPTED" in m[2] or key_kind(decoded(body)):
+            data = decoded(body)
+            if key_kind(data) or enciphered(whole, data):
                 out.append((m.start(), 3, m.end()))
-    for m in _RUN.finditer(text):
-        run = m[0]
-        if run[0] == "M" or run.startswith("b3BlbnNzaC1rZXkt"):  # what a DER sequence and the OpenSSH magic begin with
-            kind = key_kind(decoded(run))
-            if kind:
-                out.append((m.start(), KINDS.index(kind), m.end()))
     known, near, past = sorted((s, e) for s, _, e in out), 0, 0
     for m in _START.finditer(text):
         while near < len(known) and known[near][1] <= m.start():
@@ -249,9 +285,11 @@ def structural_spans(text: str) -> list[tuple[int, int, int]]:
         if found := key_at(text, m.start()):
             past = found[1]
             out.append((m.start(), KINDS.index(found[0]), past))
-    for m in _LONG_HEX.finditer(text):
-        if len(m[0]) % 2 == 0 and (kind := key_kind(bytes.fromhex(m[0]))):
-            out.append((m.start(), KINDS.index(kind), m.end()))
+    past = 0
+    for m in _HEX_START.finditer(text):
+        if m.start() >= past and (found := hex_key_at(text, m.start())):
+            past = found[1]
+            out.append((m.start(), KINDS.index(found[0]), past))
     if "." in text and "ey" in text:
         out += [(m.start(), 6, m.end()) for m in _JWT.finditer(text) if signed_token(m[1], m[2], m[3])]
     return sorted(set(out))
@@ -266,7 +304,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     spans joins kind:start:end of all finds by start, in code points; found has them as structs. base_sha256 is of
     the base kinds (assign, access, hex) alone; structural kinds are pem, der, openssh and jwt. Null counts as
-    empty; texts without secrets have a row with zeros; repeated rows each have theirs; other columns are not read.
+    empty; texts without secrets have a row with zeros; repeated rows each have theirs; ids are cast to long and may
+    be null; other columns are not read; an empty table gives an empty result.
     """
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([("id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_structural", pa.int64()), ("found", span)])
