@@ -32,5 +32,11 @@ def pack(flags: Column) -> Column:
 
 
 def valid_hash(text: Column) -> Column:
-    """The 32 bytes that a hex string names, as lower-case hex; null if it doesn't name 32 bytes."""
-    return F.when(text.rlike("^[0-9A-Fa-f]{64}$"), F.lower(text))
+    """The 32 bytes that a string names in hex, as lower-case hex; null if it doesn't name 32 bytes.
+
+    The string is read in pairs of characters from its start. A pair that is no byte in hex is passed over (a plus
+    sign before one digit counts as a byte), as is a last character that stands alone.
+    """
+    pairs = F.regexp_extract_all(text, F.lit("(?s)(..)"), F.lit(1))
+    known = F.filter(pairs, lambda x: x.rlike(r"\A[0-9A-Fa-f+][0-9A-Fa-f]\z"))
+    return F.when(F.size(known) == 32, F.lower(F.translate(F.array_join(known, ""), "+", "0")))

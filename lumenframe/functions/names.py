@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: The extensions of files that are catalogued.
 EXTENSIONS = ("arw", "bmp", "cr2", "cr3", "dng", "gif", "heic", "heif", "jpeg", "jpg", "nef", "orf", "png", "raf", "rw2", "tif", "tiff", "webp")
+#: The units of human_bytes.
 UNITS = ("B", "KB", "MB", "GB", "TB")
 
 
@@ -99,7 +100,16 @@ def eye_facts(faces: Column, open_over: float = 0.18) -> tuple[Column, Column]:
 
 
 def verdict(reply: Column, members: Column) -> Column:
-    """(keeper_index, reason) from a model's reply, fenced or in prose; null unless the index is in range."""
-    body = F.regexp_extract(reply, r"(?s)(\{.*\})", 1)
-    got = F.from_json(body, "keeper_index int, reason string")
-    return F.when(got["keeper_index"].between(0, members - 1), got)
+    """(keeper_index, reason) from a model's reply, bare or fenced; null for anything else.
+
+    The reply must be one JSON object, with nothing around it but white space and fences, that has a whole number
+    as keeper_index, in range, and a string as reason.
+    """
+    bare = F.regexp_replace(reply, r"\A\s+|\s+\z", "")
+    inside = F.regexp_replace(F.regexp_replace(bare, "```(?:json)?", ""), r"\A\s+|\s+\z", "")
+    body = F.when(F.startswith(bare, F.lit("```")), inside).otherwise(bare)
+    json = F.try_parse_json(F.when(F.startswith(body, F.lit("{")) & (F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1), body))
+    index, reason = (F.try_variant_get(json, f"$.{k}", "variant") for k in ("keeper_index", "reason"))
+    typed = (F.schema_of_variant(index) == "BIGINT") & (F.schema_of_variant(reason) == "STRING")
+    got = F.struct(F.try_variant_get(json, "$.keeper_index", "int").alias("keeper_index"), F.try_variant_get(json, "$.reason", "string").alias("reason"))
+    return F.when(typed & got["keeper_index"].between(0, members - 1), got)

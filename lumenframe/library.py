@@ -142,7 +142,7 @@ class Library:
 
     def files_for_hashes(self, hashes: list[str]) -> DataFrame:
         asked = self.spark.createDataFrame(list(enumerate(hashes)), "pos long, hash string")
-        return views.files_for_hashes(asked, self._t("files")).orderBy("pos", "path")
+        return views.files_for_hashes(asked, self._t("files")).orderBy("pos")
 
     def grid_items(self, offset: int = 0, limit: int = GRID_LIMIT) -> DataFrame:
         return views.grid_page(self._t("files"), self._t("images"), offset, limit)

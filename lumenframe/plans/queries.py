@@ -460,11 +460,12 @@ def images_after_reconcile(spark, sf):
     return catalog.without_changed(A.images(spark, sf), catalog.compared(*_walked(spark, sf), "/lib")).select("file_id")
 
 
-@query(_with(A.SQL_FILES, _WALK) + "select old.id, path, content_hash, status from old")
+@query(_with(A.SQL_FILES, _WALK) + "select o.id, path, case when o.mtime % 3 = 0 then sha256(path || 'x') else o.content_hash end as content_hash, case when o.mtime % 3 = 0 then 'hashed' else o.status end as status from old o")
 def store_hashes(spark, sf):
-    """Hashes stored again leave a catalog as it was."""
+    """Hashes for the files that have none, whatever their status; the others stay as they are."""
     old, _ = _walked(spark, sf)
-    return catalog.with_hashes(old, old.where("content_hash is not null").select("id", "content_hash")).select("id", "path", "content_hash", "status")
+    new = old.where("content_hash is null").select("id", F.sha2(F.concat("path", F.lit("x")).cast("binary"), 256).alias("content_hash"))
+    return catalog.with_hashes(old, new).select("id", "path", "content_hash", "status")
 
 
 @query(_with(A.SQL_FILES, A.SQL_IMAGES) + "select file_id, coalesce(toxic, face_count) as face_count, case when l.doc_id is not null then l.quality / 2.0 else eyes_open_ratio end as eyes_open_ratio from images left join labels l on l.doc_id = file_id")
@@ -476,22 +477,39 @@ def store_face_facts(spark, sf):
 # --- hashes, rejects, names ---------------------------------------------------------------------------------
 
 
+_BYTES = "list_filter(list_transform(range(0, length({0}) // 2), lambda i: substr({0}, 1 + 2 * i, 2)), lambda p: regexp_full_match(p, '[0-9a-fA-F+][0-9a-fA-F]'))"
+_HASH = f"case when len({_BYTES}) = 32 then lower(replace(array_to_string({_BYTES}, ''), '+', '0')) end"
+
+
 @query(
     _with(A.SQL_FILES)
-    + """, asked as (select doc_id as pos, case when lang = 'en' then sha256(coalesce(text, '')) when lang = 'de' then repeat('0', 64) else 'zz' || lang end as hash from documents)
-    select pos, hash, path, size from (select pos, lower(hash) as hash from asked where regexp_full_match(hash, '[0-9a-fA-F]{64}')) left join (select content_hash as hash, path, size from live) using (hash)"""
+    + f""", asked as (select doc_id as pos, case when lang = 'en' then upper(sha256(coalesce(text, ''))) when lang = 'de' then repeat('0', 64)
+        when lang = 'es' then 'zz' || sha256(coalesce(text, '')) || 'x' else 'zz' || lang end as hash from documents)
+    select pos, a.hash, count(path) as n, coalesce(string_agg(path || ':' || size, ',' order by path), '') as files
+    from (select pos, hash, {_HASH.format("hash")} as key from asked) a left join live on content_hash = key group by pos, a.hash"""
 )
 def files_for_hashes(spark, sf):
-    """Asked for are known hashes, one that no file has, and strings that are none."""
-    hashed = F.when(F.col("lang") == "en", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).when(F.col("lang") == "de", F.repeat(F.lit("0"), F.lit(64))).otherwise(F.concat(F.lit("zz"), "lang"))
+    """Asked for are known hashes, some with pairs that are no bytes, one that no file has, and strings that are none."""
+    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    lang = F.col("lang")
+    hashed = F.when(lang == "en", F.upper(sha)).when(lang == "de", F.repeat(F.lit("0"), F.lit(64))).when(lang == "es", F.concat(F.lit("zz"), sha, F.lit("x"))).otherwise(F.concat(F.lit("zz"), "lang"))
     asked = A.table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), hashed.alias("hash"))
-    return views.files_for_hashes(asked, A.files(spark, sf))
+    found = views.files_for_hashes(asked, A.files(spark, sf))
+    listed = F.array_join(F.transform("files", lambda f: F.concat_ws(":", f["path"], f["size"].cast("string"))), ",")
+    return found.select("pos", "hash", F.size("files").cast("long").alias("n"), listed.alias("files"))
 
 
-@query("select doc_id as id, case when regexp_full_match(h, '[0-9a-fA-F]{64}') then lower(h) end as hash from (select doc_id, case when lang = 'en' then upper(sha256(coalesce(text, ''))) else substr(sha256(coalesce(text, '')), 2) end as h from documents)")
+@query(
+    "select doc_id as id, " + _HASH.format("h") + """ as hash from (select doc_id, case doc_id % 6 when 0 then upper(s) when 1 then substr(s, 2) when 2 then s || chr(10)
+        when 3 then substr(s, 1, 10) || 'g-' || substr(s, 11) when 4 then '+' || substr(s, 2) else s || '00' end as h from (select doc_id, sha256(coalesce(text, '')) as s from documents))"""
+)
 def hash_validation(spark, sf):
-    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    text = F.when(F.col("lang") == "en", F.upper(sha)).otherwise(F.substring(sha, 2, 63))
+    """Upper case, a digit less, a line feed more, a pair that is no byte, a sign for a digit, a byte too many."""
+    s, kind = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), F.col("doc_id") % 6
+    text = (
+        F.when(kind == 0, F.upper(s)).when(kind == 1, F.substring(s, 2, 63)).when(kind == 2, F.concat(s, F.lit("\n")))
+        .when(kind == 3, F.concat(F.substring(s, 1, 10), F.lit("g-"), F.substring(s, 11, 54))).when(kind == 4, F.concat(F.lit("+"), F.substring(s, 2, 63))).otherwise(F.concat(s, F.lit("00")))
+    )
     return A.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), valid_hash(text).alias("hash"))
 
 
@@ -525,9 +543,29 @@ def reject_totals(spark, sf):
     return decisions.reject_totals(decisions.rejects(A.files(spark, sf), _decisions(spark, sf), _resolutions(spark, sf)))
 
 
-@query("with p as (select doc_id as ord, '/s/' || source || '/' || lang || '.txt' as path, lang || '.txt' as base from documents), n as (select *, row_number() over (partition by base order by ord) as k from p) select path, ord, case when k = 1 then base else replace(base, '.txt', ' (' || k || ').txt') end as staged from n")
+@query(
+    """with recursive p as (select doc_id as ord, '/s/' || source || '/' as folder, lang, case when doc_id % 11 = 0 then 2 + (doc_id // 11) % 40 end as k from documents),
+    plain as (select *, row_number() over (partition by lang order by ord) as r from p where k is null),
+    again as (select *, row_number() over (partition by lang, k order by ord) as r from p where k is not null),
+    literal as (select lang, k, ord, row_number() over (partition by lang order by k) as i from again where r = 1),
+    -- a literal name holds its number unless the plain name's numbering came to it before
+    held as (
+        select lang, cast(0 as bigint) as i, cast(0 as bigint) as k, cast(0 as bigint) as before, false as holds, cast(0 as bigint) as after from (select distinct lang from p)
+        union all
+        select s.lang, s.i, s.k, s.after, not s.met, s.after + case when s.met then 0 else 1 end
+        from (select l.lang, l.i, l.k, h.after, exists (select 1 from plain q where q.lang = l.lang and q.r = l.k - h.after and q.ord < l.ord) as met
+              from held h join literal l on l.lang = h.lang and l.i = h.i + 1) s)
+    select folder || lang || '.txt' as path, ord, case when n = 1 then lang || '.txt' else lang || ' (' || n || ').txt' end as staged
+    from (select *, r + (select count(*) from held h where h.lang = plain.lang and h.holds and h.k - h.before <= plain.r) as n from plain)
+    union all
+    select folder || lang || ' (' || k || ').txt', ord, lang || ' (' || k || ')' || case when n = 1 then '' else ' (' || n || ')' end || '.txt'
+    from (select a.*, r + case when h.holds then 0 else 1 end as n from again a join held h on h.lang = a.lang and h.k = a.k and h.i > 0)"""
+)
 def staging_names(spark, sf):
-    path = F.concat(F.lit("/s/"), "source", F.lit("/"), "lang", F.lit(".txt"))
+    """Names that recur, and among them files that are themselves called by a numbered name."""
+    number = 2 + F.floor(F.col("doc_id") / 11) % 40
+    name = F.when(F.col("doc_id") % 11 == 0, F.concat(F.col("lang"), F.lit(" ("), number.cast("string"), F.lit(").txt"))).otherwise(F.concat("lang", F.lit(".txt")))
+    path = F.concat(F.lit("/s/"), "source", F.lit("/"), name)
     return decisions.staged(A.table(spark, sf, "documents").select(path.alias("path"), F.col("doc_id").alias("ord")))
 
 
@@ -588,10 +626,18 @@ def eye_facts(spark, sf):
     return A.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), count.alias("faces"), share.alias("eyes"))
 
 
-@query("select event_id as id, case when k < 5 and event_type <> 'error' then k end as keeper, case when k < 5 and event_type <> 'error' then event_type end as reason from (select event_id, event_type, cast(props->>'$.k' as int) % 7 as k from events)")
+@query(
+    """select event_id as id, case when good then k end as keeper, case when good then event_type end as reason
+    from (select *, k < 5 and event_id % 8 in (0, 1, 2) as good from (select event_id, event_type, cast(props->>'$.k' as int) % 7 as k from events))"""
+)
 def verdict_parse(spark, sf):
-    k = F.get_json_object("props", "$.k").cast("int") % 7
+    """Bare, fenced and indented replies; and prose, a missing reason, a reason or index of another type, two objects."""
+    k, kind = F.get_json_object("props", "$.k").cast("int") % 7, F.col("event_id") % 8
     body = F.format_string('{"keeper_index": %d, "reason": "%s"}', k, F.col("event_type"))
-    reply = F.when(F.col("event_type") == "error", "none of them").when(F.col("event_type") == "view", F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit("I'd keep this: "), body))
+    reply = (
+        F.when(kind == 0, body).when(kind == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("\n\t"), body, F.lit("\n  ")))
+        .when(kind == 3, F.concat(F.lit("I'd keep this: "), body)).when(kind == 4, F.format_string('{"keeper_index": %d}', k)).when(kind == 5, F.format_string('{"keeper_index": %d, "reason": 7}', k))
+        .when(kind == 6, F.format_string('{"keeper_index": "%d", "reason": "x"}', k)).otherwise(F.concat(body, F.lit(", "), body))
+    )
     got = names.verdict(reply, F.lit(5))
     return A.table(spark, sf, "events").select(F.col("event_id").alias("id"), got["keeper_index"].alias("keeper"), got["reason"].alias("reason"))

@@ -43,19 +43,20 @@ def test_camera_and_paths(spark):
     assert one(spark, names.under(F.lit("/a/b/c"), "/a/b/"), names.under(F.lit("/a/bc"), "/a/b")) == (True, False)
     human = lambda n: one(spark, names.human_bytes(F.lit(n).cast("long")))[0]
     assert [human(n) for n in (999, 1000, 1_500_000, 2 * 10**9, 3 * 10**15)] == ["999 B", "1.0 KB", "1.5 MB", "2.0 GB", "3000.0 TB"]
-    assert one(spark, bits.valid_hash(F.lit("AB" * 32)), bits.valid_hash(F.lit("zz" * 32)), bits.valid_hash(F.lit("ab"))) == ("ab" * 32, None, None)
+    h = lambda t: one(spark, bits.valid_hash(F.lit(t)))[0]
+    assert [h(t) for t in ("C4" * 32, "zz" * 32, "c4", "c4" * 32 + "\n", "c4" * 32 + "\n\n", "zz" + "c4" * 32, "z" + "c4" * 32, "+4" + "c4" * 31)] == ["c4" * 32, None, None, "c4" * 32, "c4" * 32, "c4" * 32, None, "04" + "c4" * 31]
 
 
 def test_verdicts(spark):
     v = lambda s, n=3: one(spark, names.verdict(F.lit(s), F.lit(n)).alias("v"))[0]
-    assert v('{"keeper_index": 1, "reason": "sharp"}').keeper_index == 1
-    assert v('```json\n{"keeper_index": 0, "reason": "x"}\n```').keeper_index == 0
-    assert v('Sure: {"keeper_index": 2, "reason": "y"} there').reason == "y"
-    assert v('{"keeper_index": 3, "reason": "y"}') is None and v("no") is None
+    assert v('{"keeper_index": 2, "reason": "in focus", "more": 1}').keeper_index == 2
+    assert v(' \n```json\n{"keeper_index": 0, "reason": "eyes"}\n```\n').keeper_index == 0 and v('```{"keeper_index": 1, "reason": ""}```').reason == ""
+    for bad in ('Sure: {"keeper_index": 2, "reason": "y"}', '{"keeper_index": 2}', '{"keeper_index": 3, "reason": "y"}', '{"keeper_index": -1, "reason": "y"}', "no", "", '{"keeper_index": 1, "reason": null}', '{"keeper_index": "1", "reason": "y"}', '{"keeper_index": 1, "reason": 4}', '{"keeper_index": 1, "reason": "y"} ok', '[{"keeper_index": 1, "reason": "y"}]'):
+        assert v(bad) is None, bad
 
 
 def test_staged_names():
-    assert staged_names(["/a/IMG_1.jpg", "/b/IMG_1.jpg", "/c/IMG_1.jpg"]) == ["IMG_1.jpg", "IMG_1 (2).jpg", "IMG_1 (3).jpg"]
+    assert staged_names(["/r/sea.png", "/s/sea.png", "/t/u/sea.png"]) == ["sea.png", "sea (2).png", "sea (3).png"]
     assert staged_names(["/a/x (2).jpg", "/a/x.jpg", "/b/x.jpg", "/c/noext", "/d/noext"]) == ["x (2).jpg", "x.jpg", "x (3).jpg", "noext", "noext (2)"]
     assert '"staged": "/s/a.jpg"' in manifest(["/q/a.jpg"], "/s/")
 
