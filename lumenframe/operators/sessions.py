@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
+from ..scratch import materialise
 from .ordered import DAY, runs
 
 EVENT_GAP, BURST_GAP, BURST_COSINE = 7200, 3, 0.92
@@ -59,5 +60,6 @@ def bursts(frames: DataFrame, gap: int = BURST_GAP, least_cosine: float | None =
         return late if least_cosine is None else late | (cosine(p["vector"], c["vector"]) < least_cosine)
 
     numbered = runs(used.select("id", "camera", "at", *carry), ["camera"], "at", "id", carry, breaks, max(DAY, gap)).select("id", "camera", "run")
+    numbered = materialise(numbered, "numbered")
     sizes = numbered.groupBy("camera", "run").agg(F.count("*").alias("members"), F.min("id").alias("burst")).where("members >= 2")
     return numbered.join(sizes, ["camera", "run"]).select("camera", "burst", "id", "members")

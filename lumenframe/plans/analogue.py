@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.bits import pack
 from ..functions.names import thumb_path
 
-#: Fixed value: a letter for each of the 64 cells of a histogram.
-CELLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+-"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,22 +29,18 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def histogram(text: Column) -> Column:
-    """Counts of the words of text by a hash of 64 values.
-
-    Each word becomes one letter; a letter's count is what the string loses when it is taken out.
-    """
-    def cell(word: Column) -> Column:
-        return F.conv(F.substring(F.md5(word.cast("binary")), 1, 2), 16, 10).cast("int") % 64
-
-    letters = F.array_join(F.transform(F.split(text, " "), lambda w: F.substring(F.lit(CELLS), cell(w) + 1, F.lit(1))), "")
-    whole = F.length(letters)
-    return F.array(*[(whole - F.length(F.replace(letters, F.lit(c), F.lit("")))).cast("int") for c in CELLS])
+def histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, vector) of every document: counts of its words by a hash of 64 values."""
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(F.split(F.coalesce("text", F.lit("")), " ")).alias("w"))
+    cell = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 2), 16, 10).cast("int") % 64
+    counts = words.groupBy("id", cell.alias("c")).agg(F.count("*").cast("int").alias("n"))
+    held = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("m"))  # at most 64 entries
+    return held.select("id", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))).alias("vector"))
 
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, vector, phash, dhash) of every document, by the rules of the picture hashes on the histogram."""
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), histogram(F.coalesce("text", F.lit(""))).alias("vector"))
+    rows = histograms(spark, sf_dir)
     ordered = F.array_sort("vector")
     rows = rows.withColumn("median", (F.get(ordered, 31) + F.get(ordered, 32)) / 2.0)
     above = F.transform("vector", lambda x: x > F.col("median"))
