@@ -9,9 +9,10 @@ Before a pair is aligned it must pass two tests that no link can fail: the lengt
 allowed, and the texts share enough pairs of neighbouring words (an edit touches at most two of them).
 
 Candidates aren't all emitted: (1) texts with equal words are one representative; (2) every member of a sketch's
-bucket is compared with the bucket's leader, which closes groups of copies in linear work; (3) buckets that still
-hold more than one component are cut into blocks of bounded size, and each pair of blocks is compared in one task,
-which keeps the pairs to itself and returns only links. No bucket is capped.
+bucket is compared with the bucket's leader, which closes groups of copies in linear work, and those that don't link
+to it with a few others that do; (3) in buckets that still hold more than one component, those in the leader's component and the others are cut into blocks of bounded size,
+and each pair of blocks that holds others is compared in one task, which keeps the pairs to itself and returns only
+links: a few strangers in a bucket of copies cost no more than the copies. No bucket is capped.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -33,6 +34,10 @@ SKETCHES = 64  # a pair with every fifth word changed, scattered evenly, misses
 ORDERED = 2
 GRAM = 2  # words of a run by which pairs are tested before they are aligned
 BLOCK_DOCS, BLOCK_WORDS = 256, 1_000_000
+#: A group of copies has the same few leaders in all its buckets: one for each of so many classes of keys.
+LEADERS, TURN = 4, 0x2545F4914F6CDD1D >> 2
+#: Members of the leader's component with which the others of a bucket are compared before blocks are.
+DELEGATES = 4
 
 
 def labelled(words: np.ndarray, k: int) -> np.ndarray:
@@ -161,13 +166,13 @@ LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.int32())
 def _block_links(rows: list[tuple], similarity: float) -> list[tuple]:
     """Links (a, b, distance, component of a, component of b) between components from one pair of blocks.
 
-    rows: (uid, comp, block, leads, open keys, words, key). A pair is the work of the least bucket that both are in.
+    rows: (uid, comp, side, open keys, words, (key, lo, hi)). Rows of two blocks are compared across sides, those of
+    one block with each other. A pair is the work of the least bucket that both are in.
     """
     comps = [r[1] for r in rows]
-    blocks = np.array([r[2] for r in rows])
-    leads = np.array([r[3] for r in rows])
-    key = rows[0][6]
-    words = [word_hashes(r[5]) for r in rows]
+    side = np.array([r[2] for r in rows])
+    key, lo, hi = rows[0][5]
+    words = [word_hashes(r[4]) for r in rows]
     lengths = np.array([len(w) for w in words])
     grams = [labelled(w, GRAM) for w in words]
     sizes = np.array([len(x) for x in grams])
@@ -176,19 +181,18 @@ def _block_links(rows: list[tuple], similarity: float) -> list[tuple]:
     order = np.argsort(codes, kind="stable")
     codes, owner = codes[order], owner[order]
     common = np.zeros((len(rows), len(rows)), np.float32)
-    for lo in range(0, len(names), 4096):
-        s, e = np.searchsorted(codes, [lo, lo + 4096])
-        dense = np.zeros((len(rows), min(4096, len(names) - lo)), np.float32)
-        dense[owner[s:e], codes[s:e] - lo] = 1
+    for first in range(0, len(names), 4096):
+        s, e = np.searchsorted(codes, [first, first + 4096])
+        dense = np.zeros((len(rows), min(4096, len(names) - first)), np.float32)
+        dense[owner[s:e], codes[s:e] - first] = 1
         common += dense @ dense.T
     longer = np.maximum(lengths[:, None], lengths[None, :])
     allowed = np.floor((1 - similarity) * longer + 1e-9)
     near = (common >= longer - GRAM + 1 - GRAM * allowed) & (np.abs(lengths[:, None] - lengths[None, :]) <= allowed)
     comp = np.unique(comps, return_inverse=True)[1]
     near &= comp[:, None] != comp[None, :]
-    near &= ~(leads[:, None] | leads[None, :])  # compared before
-    if blocks.min() != blocks.max():
-        near &= blocks[:, None] != blocks[None, :]
+    if lo != hi:
+        near &= side[:, None] != side[None, :]
     root = {c: c for c in comps}
 
     def top(c: int) -> int:
@@ -199,7 +203,7 @@ def _block_links(rows: list[tuple], similarity: float) -> list[tuple]:
     out = []
     for i, j in zip(*np.nonzero(np.triu(near)), strict=True):
         x, y = top(comps[i]), top(comps[j])
-        if x != y and min(set(rows[i][4]) & set(rows[j][4])) == key:
+        if x != y and min(set(rows[i][3]) & set(rows[j][3])) == key:
             d = edits(words[i], words[j], similarity)
             if d is not None:
                 root[x] = y
@@ -213,34 +217,67 @@ def near_links(reps: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame
     The links span the components: two texts that a chain of found links joins already aren't compared again.
     """
     buckets = reps.select("uid", F.explode("keys").alias("key"))
-    first = F.min(F.col("uid").bitwiseXOR(F.col("key")))  # another order of the rows for each key, which gives the row back
-    stats = buckets.groupBy("key").agg(F.count("*").alias("members"), first.alias("least")).where("members > 1")
-    stats = materialise(stats.select("key", "members", F.col("least").bitwiseXOR(F.col("key")).alias("lead")), "stats")
-    shared = materialise(join_checked(buckets, stats, "key", "inner", 40), "buckets")
+    turn = F.pmod("key", F.lit(LEADERS)) * F.lit(TURN)  # another order of the rows for each of a few classes of keys, which gives the row back
+    stats = buckets.groupBy("key").agg(F.count("*").alias("members"), F.min(F.col("uid").bitwiseXOR(turn)).alias("least")).where("members > 1")
+    stats = materialise(stats.select("key", "members", F.col("least").bitwiseXOR(turn).alias("lead")), "stats")
+    shared = materialise(buckets.join(stats, "key"), "buckets")
 
     texts = reps.select("uid", "n", "words")
-    pairs = shared.where(F.col("uid") != F.col("lead")).select(F.least("uid", "lead").alias("a"), F.greatest("uid", "lead").alias("b")).distinct()
-    pairs = materialise(pairs, "pairs")
-    x, y = (texts.select(F.col("uid").alias(i), F.col("n").alias(n)) for i, n in (("a", "m"), ("b", "n")))
-    star = pairs.join(x, "a").join(y, "b").where(F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-9).select("a", "b")
-    star = materialise(star, "star")
-    ends = materialise(star.select(F.col("a").alias("uid")).unionByName(star.select(F.col("b").alias("uid"))).distinct(), "ends")
-    edges = materialise(_verify_pairs(star, join_checked(texts, ends, "uid", "left_semi", 16), similarity), "links")
-    comps = components(edges.select("a", "b"))
 
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The links among pairs (a, b) of rows."""
+        once = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        x, y = (texts.select(F.col("uid").alias(i), F.col("n").alias(n)) for i, n in (("a", "m"), ("b", "n")))
+        able = once.join(x, "a").join(y, "b").where(F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-9).select("a", "b")
+        able = materialise(able, "able")
+        ends = materialise(able.select(F.col("a").alias("uid")).unionByName(able.select(F.col("b").alias("uid"))).distinct(), "ends")
+        out = materialise(_verify_pairs(able, join_checked(texts, ends, "uid", "left_semi", 16), similarity), "links")
+        forget(once, able, ends)
+        return out
+
+    edges = verified(shared.where(F.col("uid") != F.col("lead")).select(F.col("uid").alias("a"), F.col("lead").alias("b")))
+    comps = components(edges.select("a", "b"))
     name = comps.select(F.col("node").alias("uid"), "comp")
-    members = materialise(join_checked(shared.where("members > 2"), name, "uid", "left", 24).select("key", "uid", (F.col("uid") == F.col("lead")).alias("leads"), F.coalesce("comp", "uid").alias("comp")), "members")
-    mixed = materialise(members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "mixed")
-    sized = join_checked(members, mixed, "key", "left_semi", 16).join(texts.select("uid", "n"), "uid")
-    sized = materialise(sized, "sized")
-    parts = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum(F.col("n").cast("long")) / BLOCK_WORDS)).cast("int")
-    spread = materialise(sized.groupBy("key").agg(parts.alias("parts")), "spread")
-    still = materialise(join_checked(sized, spread, "key", "inner", 24).withColumn("block", F.pmod(F.xxhash64("uid", "key"), F.col("parts")).cast("int")), "open")
-    keys = materialise(still.groupBy("uid").agg(F.collect_list("key").alias("open")), "keys")  # at most a key per sketch
+
+    def placed(name: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The rows of each bucket with their component, and the buckets that hold several, with the leader's."""
+        members = join_checked(shared.where("members > 2"), name, "uid", "left", 24).select("key", "uid", (F.col("uid") == F.col("lead")).alias("leads"), F.coalesce("comp", "uid").alias("comp"))
+        members = materialise(members, "members")
+        mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("leads"), F.col("comp"))).alias("main")).where("lo <> hi").select("key", "main")
+        mixed = materialise(mixed, "mixed")
+        return members, mixed
+
+    def seen(members: DataFrame, mixed: DataFrame) -> DataFrame:
+        return join_checked(members, mixed, "key", "inner", 24).select("key", "uid", "leads", "comp", (F.col("comp") == F.col("main")).alias("inner"))
+
+    members, mixed = placed(name)
+    both = seen(members, mixed)
+    orders = [F.lit((j + 1) * TURN >> 3) for j in range(DELEGATES)]
+    delegates = both.where(F.col("inner") & ~F.col("leads")).groupBy("key").agg(*[F.min(F.col("uid").bitwiseXOR(t)).bitwiseXOR(t).alias(f"d{j}") for j, t in enumerate(orders)])
+    delegates = materialise(delegates.select("key", F.explode(F.array_distinct(F.array(*[f"d{j}" for j in range(DELEGATES)]))).alias("b")), "delegates")
+    late = verified(both.where(~F.col("inner")).select("key", F.col("uid").alias("a")).join(delegates, "key").select("a", "b"))
+    forget(delegates)
+    if late.take(1):
+        x, y = (name.select(F.col("uid").alias(i), F.col("comp").alias(c)) for i, c in (("a", "x"), ("b", "y")))
+        ends = late.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+        name = _joined_up(name, components(ends)).select(F.col("node").alias("uid"), "comp")
+        members, mixed = placed(name)
+    sized = materialise(seen(members, mixed).join(texts.select("uid", "n"), "uid"), "sized")
+
+    def parts(of: Column) -> Column:
+        docs, words = F.count(F.when(of, True)), F.sum(F.when(of, F.col("n").cast("long")).otherwise(0))
+        return F.greatest(F.ceil(docs / BLOCK_DOCS), F.ceil(words / BLOCK_WORDS)).cast("int")
+
+    spread = materialise(sized.groupBy("key").agg(parts(F.col("inner") & ~F.col("leads")).alias("mains"), parts(~F.col("inner")).alias("others")), "spread")
+    still = join_checked(sized, spread, "key", "inner", 24)
+    keys = materialise(sized.groupBy("uid").agg(F.collect_list("key").alias("open")), "keys")  # at most a key per sketch
     held = join_checked(texts.select("uid", "words"), keys, "uid", "inner", 24 + 8 * F.size("open"))
-    other = F.explode(F.expr("sequence(0, parts - 1)"))
-    dealt = still.select("key", "uid", "comp", "block", "leads", other.alias("other"))
-    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "uid", "comp", "block", "leads")
+    block = F.pmod(F.xxhash64("uid", "key"), F.when(F.col("inner"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    dealt = still.where(~F.col("leads")).withColumn("block", block)
+    across = F.when(F.col("mains") > 0, F.expr("transform(sequence(0, mains - 1), i -> struct(i as lo, -1 - block as hi, 1 as side))")).otherwise(F.array().cast("array<struct<lo:int,hi:int,side:int>>"))
+    among = F.expr("transform(sequence(0, others - 1), j -> struct(least(block, j) as lo, greatest(block, j) as hi, if(block > j, 1, 0) as side))")
+    inner = F.expr("transform(sequence(0, others - 1), j -> struct(block as lo, -1 - j as hi, 0 as side))")
+    dealt = dealt.select("key", "uid", "comp", F.explode(F.when(F.col("inner"), inner).otherwise(F.concat(across, among))).alias("t")).select("key", "t.lo", "t.hi", "t.side", "uid", "comp")
     together = dealt.join(held, "uid").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
     def compare(batches):
@@ -248,26 +285,30 @@ def near_links(reps: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame
         out = []
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("key", "lo", "hi")]
-            rest = [batch.column(c).to_pylist() for c in ("uid", "comp", "block", "leads", "open", "words")]
+            rest = [batch.column(c).to_pylist() for c in ("uid", "comp", "side", "open", "words")]
             for i, now in enumerate(zip(*cols, strict=True)):
                 if now != at:
                     if len(rows) > 1:
                         out += _block_links(rows, similarity)
                     rows, at = [], now
-                rows.append((*(c[i] for c in rest), now[0]))
+                rows.append((*(c[i] for c in rest), now))
             yield _link_batch(out)
             out = []
         if len(rows) > 1:
             yield _link_batch(_block_links(rows, similarity))
 
     more = materialise(together.mapInArrow(compare, "a long, b long, distance int, x long, y long"), "more")
-    over = components(more.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    out = _joined_up(name, components(more.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    links = materialise(edges.unionByName(late).unionByName(more.select("a", "b", "distance")).distinct(), "found")
+    forget(stats, shared, edges, late, comps, members, mixed, sized, spread, keys, more)
+    return out, links
+
+
+def _joined_up(name: DataFrame, over: DataFrame) -> DataFrame:
+    """(node, comp) of the rows of name (uid, comp) after components (node, comp) over the old components joined some."""
     again = over.select(F.col("node").alias("comp"), F.col("comp").alias("final"))
     known = name.unionByName(over.select(F.col("node").alias("uid"), F.col("node").alias("comp")).join(name.select("uid"), "uid", "left_anti"))
-    out = materialise(known.join(again, "comp", "left").select(F.col("uid").alias("node"), F.coalesce("final", "comp").alias("comp")), "classes")
-    links = materialise(edges.unionByName(more.select("a", "b", "distance")).distinct(), "found")
-    forget(stats, shared, pairs, star, ends, edges, comps, members, mixed, sized, spread, still, keys, more, over)
-    return out, links
+    return materialise(known.join(again, "comp", "left").select(F.col("uid").alias("node"), F.coalesce("final", "comp").alias("comp")), "classes")
 
 
 def _link_batch(found: list[tuple]) -> pa.RecordBatch:
