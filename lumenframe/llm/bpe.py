@@ -327,7 +327,7 @@ def tokenised(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
 
     vocabulary is the path of a byte-level BPE file of the tokenizers library, read on the driver. Strings of added
     tokens in a text become those tokens. Null is empty; an empty text has no tokens. Other columns are not read;
-    repeated rows are encoded each. outputs names the columns wanted beside id_col.
+    repeated rows are encoded each; ids are cast to long and may be null. outputs names the columns wanted beside id_col.
     """
     with open(vocabulary, encoding="utf-8") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -345,17 +345,19 @@ def tokenised(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
     def run(batches):
         codec = process_cache(("bpe", name), lambda: Codec(source.value))
         gc.disable()  # nothing here has cycles, and the many small tuples are what a collection would look through
-        for batch in batches:
-            at = 0
-            for some in stretches(batch.column("text"), TRIE_CHARS):
-                out = {f.name: [] for f in schema} | {"id": batch.column("id").slice(at, len(some))}
-                at += len(some)
-                for ids in codec.encode_some(some):
-                    for o in outputs:
-                        out[o].append(make[o](codec, ids))
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
-        codec.forget()
-        gc.enable()
+        try:
+            for batch in batches:
+                at = 0
+                for some in stretches(batch.column("text"), TRIE_CHARS):
+                    out = {f.name: [] for f in schema} | {"id": batch.column("id").slice(at, len(some))}
+                    at += len(some)
+                    for ids in codec.encode_some(some):
+                        for o in outputs:
+                            out[o].append(make[o](codec, ids))
+                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+        finally:  # also where no more rows are asked for
+            codec.forget()
+            gc.enable()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, " + ", ".join(f"{o} {_KINDS[o]}" for o in outputs)).withColumnRenamed("id", id_col)
