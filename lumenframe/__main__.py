@@ -1,12 +1,14 @@
-"""Command line: scan, dupes, clusters, search and stats over a catalog."""
+"""Command line: scan, search, dupes, clusters, best and stats over a catalog."""
 
 from __future__ import annotations
 
 import argparse
+import os
 
 from pyspark.sql import SparkSession
 
-from .library import Library
+from .library import SEARCH_LIMIT, Library
+from .sources.models import OnnxEmbedder
 
 
 def parser() -> argparse.ArgumentParser:
@@ -15,6 +17,10 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     scan = sub.add_parser("scan")
     scan.add_argument("root")
+    for command in (scan, look := sub.add_parser("search")):
+        command.add_argument("--models", help="folder with vision.onnx, text.onnx and tokenizer.json, and aesthetic.bin if there is one")
+    look.add_argument("query")
+    look.add_argument("--limit", type=int, default=SEARCH_LIMIT)
     sub.add_parser("dupes")
     sub.add_parser("stats")
     clusters = sub.add_parser("clusters")
@@ -33,10 +39,23 @@ def bits(text: str) -> int:
     return min(64, max(0, int(text)))
 
 
+def attach(library: Library, folder: str) -> None:
+    """Attach the models of a folder; without an aesthetic head images get no aesthetic score."""
+    library.attach_models(OnnxEmbedder(*(os.path.join(folder, n) for n in ("vision.onnx", "text.onnx", "tokenizer.json"))))
+    head = os.path.join(folder, "aesthetic.bin")
+    if os.path.exists(head):
+        with open(head, "rb") as f:
+            library.attach_models(library.embedder, f.read())
+
+
 def main(arguments: list[str] | None = None) -> None:
     a = parser().parse_args(arguments)
     library = Library(SparkSession.builder.appName("lumenframe").getOrCreate(), a.db)
-    if a.command == "scan":
+    if getattr(a, "models", None):
+        attach(library, a.models)
+    if a.command == "search":
+        library.search(a.query, a.limit).show(a.limit, False)
+    elif a.command == "scan":
         for name, n in library.scan(a.root).items():
             print(f"{name}: {n}")
     elif a.command == "dupes":

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.vectors import aesthetic_score, read_head
 from .operators import catalog, decisions, dedup, near, scoring, search, sessions, views
-from .scratch import materialise
+from .scratch import forget, materialise
 from .sources import images as pictures
 from .sources.store import Store
 from .sources.walk import listed, walk
@@ -51,11 +50,11 @@ class Library:
             out["analyzed"], out["embedded"] = self._analyse(root), self._embed(root)
         return out
 
-    def _read(self, root: str, wanted: DataFrame) -> DataFrame:
-        """(id, path, content) of the wanted files (id, path)."""
+    def _read(self, root: str, wanted: DataFrame, most: int = -1) -> DataFrame:
+        """(path, content) of the wanted files (path); of local ones only so many bytes."""
         if self.local:
-            return pictures.local_contents(wanted).join(wanted.select("id", "path"), "path")
-        return pictures.contents(self.spark, root).join(wanted.select("id", "path"), "path")
+            return pictures.local_contents(wanted, most)
+        return pictures.contents(self.spark, root).join(wanted.select("path"), "path", "left_semi")
 
     def _hash_candidates(self, root: str) -> int:
         files = self._t("files")
@@ -63,7 +62,7 @@ class Library:
         todo = same_size.where("content_hash is null")
         if not todo.take(1):
             return 0
-        prefixes = materialise(pictures.hashed(self._read(root, same_size)).select("path", "prehash"), "prefixes")
+        prefixes = materialise(pictures.hashed(self._read(root, same_size, pictures.PREFIX_BYTES)).select("path", "prehash"), "prefixes")
         chosen = dedup.prefix_candidates(files.join(prefixes, "path", "left")).select("id", "path")
         hashes = materialise(pictures.hashed(self._read(root, chosen)).join(chosen, "path").select("id", "content_hash"), "hashes")
         self.store.put(files=catalog.with_hashes(files, hashes))
@@ -73,20 +72,17 @@ class Library:
         todo = materialise(catalog.needing_analysis(self._t("files"), self._t("images")).select("id", "path"), "todo")
         if not todo.take(1):
             return 0
-        content = self._read(root, todo).persist(StorageLevel.DISK_ONLY)
-        hashes = pictures.hashed(content).join(todo, "path").select("id", "path", "content_hash")
-        facts = pictures.exif_facts(content.select("path", "content"))
-        raw = pictures.decoded(self.spark, root).join(todo.select("path"), "path", "left_semi")
-        rows = todo.join(facts, "path", "left").join(raw.select("path", "width", "height"), "path", "left").join(pictures.pixel_facts(raw), "path", "left")
-        rows = rows.join(hashes.select("path", "content_hash"), "path", "left")
+        facts = pictures.file_facts(self._read(root, todo))
+        seen = materialise(pictures.picture_facts(pictures.decoded(self.spark, root, todo)), "pictures")
+        rows = todo.join(facts, "path", "left").join(seen.drop("picture"), "path", "left")
         thumb = F.when(F.col("width").isNotNull(), pictures.thumb_path(f"{self.store.path}/thumbs", F.col("content_hash")))
         new = materialise(rows.withColumn("thumb_path", thumb).withColumnRenamed("id", "file_id"), "facts")
         files = catalog.with_hashes(self._t("files"), new.select(F.col("file_id").alias("id"), "content_hash").where("content_hash is not null"))
         done = new.select(F.col("file_id").alias("id"), F.lit(True).alias("__done"))
         files = files.join(done, "id", "left").withColumn("status", F.when(F.col("__done") & (F.col("status") != "missing"), "analyzed").otherwise(F.col("status"))).drop("__done")
-        pictures.write_thumbnails(pictures.thumbnails(raw, new.select("path", "content_hash"), f"{self.store.path}/thumbs"), f"{self.store.path}/thumbs")
+        pictures.write_thumbnails(pictures.thumbnails(seen, new.select("path", "content_hash"), f"{self.store.path}/thumbs"), f"{self.store.path}/thumbs")
         self.store.put(files=files, images=catalog.upserted(self._t("images"), new.drop("path", "content_hash"), "file_id"))
-        content.unpersist()
+        forget(seen)
         return new.count()
 
     def _embed(self, root: str) -> int:
@@ -94,7 +90,7 @@ class Library:
             return 0
         todo = catalog.needing_embedding(self._t("files"), self._t("images"), self._t("embeddings")).select("file_id")
         paths = self._t("files").select(F.col("id").alias("file_id"), "path").join(todo, "file_id", "left_semi")
-        raw = pictures.decoded(self.spark, root).join(paths.select("path"), "path", "left_semi")
+        raw = pictures.decoded(self.spark, root, paths)
         new = materialise(pictures.embedded(raw, self.embedder).join(paths, "path").select("file_id", "vector"), "vectors")
         self.store.put(embeddings=catalog.upserted(self._t("embeddings"), new, "file_id"))
         if self.head is not None:

@@ -22,9 +22,16 @@ BROADCAST_BYTES = 16 << 20
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared checkpoint folder; a temporary one is set where none is named."""
+    """A new folder name below the shared checkpoint folder.
+
+    Where none is named, a temporary one is set in local mode; on a cluster that is an error, as executors would write
+    to disks of their own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lumenframe-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lumenframe-{name}-{uuid.uuid4().hex}"

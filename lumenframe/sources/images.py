@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Protocol
 
 import numpy as np
@@ -16,6 +17,10 @@ from ..operators.dedup import PREFIX_BYTES
 from . import exif
 
 
+#: So many files at most are named to the image reader one by one.
+MOST_NAMED = 10_000
+
+
 class Embedder(Protocol):
     """What turns images and texts into vectors of one space; it travels to executors."""
 
@@ -30,10 +35,10 @@ def contents(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
 
 
-def local_contents(files: DataFrame) -> DataFrame:
+def local_contents(files: DataFrame, most: int = -1) -> DataFrame:
     """(path, content) of files (path, ...) that every executor sees, also of names that Spark's listing hides.
 
-    A file that can't be read has no row.
+    Of each file the first ``most`` bytes are read, all by default. A file that can't be read has no row.
     """
 
     def read(batches):
@@ -41,7 +46,7 @@ def local_contents(files: DataFrame) -> DataFrame:
             for path in batch.column("path").to_pylist():
                 try:
                     with open(path, "rb") as f:
-                        data = f.read()
+                        data = f.read(most)
                 except OSError:
                     continue
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([data], pa.binary())], names=["path", "content"])
@@ -54,27 +59,35 @@ def hashed(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("content_hash"), F.sha2(F.substring("content", 1, PREFIX_BYTES), 256).alias("prehash"))
 
 
-def exif_facts(files: DataFrame) -> DataFrame:
-    """(path, captured_at, camera, orientation) of (path, content); nulls where a file says nothing."""
+def file_facts(files: DataFrame) -> DataFrame:
+    """(path, content_hash, captured_at, camera, orientation) of (path, content); nulls where a file says nothing."""
 
     def read(batches):
         for batch in batches:
             got = [exif.read(c.as_py() or b"") for c in batch.column("content")]
             columns = [pa.array([g[n] for g in got], t) for n, t in (("make", pa.string()), ("model", pa.string()), ("taken", pa.string()), ("orientation", pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("path"), *columns], names=["path", "make", "model", "taken", "orientation"])
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("content_hash"), *columns], names=["path", "content_hash", "make", "model", "taken", "orientation"])
 
-    raw = files.select("path", "content").mapInArrow(read, "path string, make string, model string, taken string, orientation int")
-    return raw.select("path", exif_seconds(F.col("taken")).alias("captured_at"), camera_label(F.col("make"), F.col("model")).alias("camera"), "orientation")
+    raw = files.select("path", F.sha2("content", 256).alias("content_hash"), "content").mapInArrow(read, "path string, content_hash string, make string, model string, taken string, orientation int")
+    return raw.select("path", "content_hash", exif_seconds(F.col("taken")).alias("captured_at"), camera_label(F.col("make"), F.col("model")).alias("camera"), "orientation")
 
 
-def decoded(spark: SparkSession, root: str) -> DataFrame:
-    """(path, width, height, channels, data) of the images below root, by Spark's decoder; nulls if it can't.
+def decoded(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
+    """(path, width, height, channels, data) of the wanted images (path) below root, by Spark's decoder; nulls if it can't.
 
+    Up to MOST_NAMED files are named to the reader; of more, all below root are listed and the others left out.
     Spark's listing passes over names that start with an underscore, so these count as undecodable.
     """
-    rows = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(root).select("image.*")
+    named = [r.path for r in wanted.select("path").limit(MOST_NAMED + 1).collect()]
+    hidden = re.escape(root.rstrip("/")) + r"/(?:.*/)?_"
+    named = [p for p in named if not re.match(hidden, p)] if len(named) <= MOST_NAMED else None
+    source = root if named is None else [re.sub(r"([\\*?{}\[\]])", r"\\\1", p) for p in named]
+    if named == []:
+        return spark.createDataFrame([], "path string, width int, height int, channels int, data binary")
+    rows = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(source).select("image.*")
     good = F.col("height") > 0
-    return rows.select(F.regexp_replace("origin", "^file:/+", "/").alias("path"), *[F.when(good, F.col(c)).alias(n) for c, n in (("width", "width"), ("height", "height"), ("nChannels", "channels"), ("data", "data"))])
+    rows = rows.select(F.regexp_replace("origin", "^file:/+", "/").alias("path"), *[F.when(good, F.col(c)).alias(n) for c, n in (("width", "width"), ("height", "height"), ("nChannels", "channels"), ("data", "data"))])
+    return rows if named is not None else rows.join(wanted.select("path"), "path", "left_semi")
 
 
 def raster(width: int, height: int, channels: int, data: bytes) -> np.ndarray:
@@ -98,27 +111,31 @@ def _mapped(images: DataFrame, fields: list[tuple[str, pa.DataType, str]], make)
     return images.select("path", "width", "height", "channels", "data").mapInArrow(run, "path string, " + ", ".join(f"{n} {s}" for n, _, s in fields))
 
 
-def pixel_facts(images: DataFrame) -> DataFrame:
-    """(path, dhash, phash, sharpness, exposure_score) of decoded images."""
-    fields = [("dhash", pa.int64(), "long"), ("phash", pa.int64(), "long"), ("sharpness", pa.float64(), "double"), ("exposure_score", pa.float64(), "double")]
-    return _mapped(images, fields, lambda a: [pixels.dhash(a), pixels.phash(a), pixels.sharpness(a), pixels.exposure(a)])
+def picture_facts(images: DataFrame) -> DataFrame:
+    """(path, width, height, dhash, phash, sharpness, exposure_score, picture) of decoded images, each gone through once.
 
+    picture is a PNG of at most 256 pixels a side.
+    """
+    fields = [("w", pa.int32(), "int"), ("h", pa.int32(), "int"), ("dhash", pa.int64(), "long"), ("phash", pa.int64(), "long"), ("sharpness", pa.float64(), "double"), ("exposure_score", pa.float64(), "double"), ("picture", pa.binary(), "binary")]
+    found = _mapped(images, fields, lambda a: [a.shape[1], a.shape[0], pixels.dhash(a), pixels.phash(a), pixels.sharpness(a), pixels.exposure(a), pixels.png(pixels.thumbnail(a))])
+    return found.withColumnsRenamed({"w": "width", "h": "height"})
 
-def thumbnails(images: DataFrame, hashes: DataFrame, folder: str) -> DataFrame:
-    """(content_hash, thumb_path, picture) once per content: a PNG of at most 256 pixels a side.
 
-    hashes (path, content_hash); of equal contents only the first path is scaled.
-    """
+def thumbnails(pictures: DataFrame, hashes: DataFrame, folder: str) -> DataFrame:
+    """(content_hash, thumb_path, picture) once per content, of (path, picture) and hashes (path, content_hash)."""
     first = hashes.groupBy("content_hash").agg(F.min("path").alias("path"))
-    small = _mapped(images.join(first, "path", "left_semi"), [("picture", pa.binary(), "binary")], lambda a: [pixels.png(pixels.thumbnail(a))])
-    return small.where("picture is not null").join(first, "path").select("content_hash", thumb_path(folder, F.col("content_hash")).alias("thumb_path"), "picture")
+    return pictures.where("picture is not null").join(first, "path").select("content_hash", thumb_path(folder, F.col("content_hash")).alias("thumb_path"), "picture")
 
 
 def write_thumbnails(thumbs: DataFrame, folder: str) -> None:
-    """The thumbnails as a table below folder, by the first two digits of the hash, beside those that are there.
+    """The thumbnails as a table below folder, by the first two digits of the hash; contents that are there already stay.
 
     A table instead of a file each: it goes to any store and doesn't burden it with small files.
     """
+    spark = thumbs.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        thumbs = thumbs.join(spark.read.schema("content_hash string").parquet(folder), "content_hash", "left_anti")
     thumbs.withColumn("shard", F.substring("content_hash", 1, 2)).write.mode("append").partitionBy("shard").parquet(folder)
 
 

@@ -12,8 +12,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.names import EXTENSIONS, has_extension, hidden_below
 
 
-def found_below(root: str, extensions: tuple[str, ...] = EXTENSIONS) -> Iterator[tuple[str, int, int] | None]:
-    """(path, size, mtime) of each file below root, or None for an entry that can't be read.
+def found_below(root: str, extensions: tuple[str, ...] = EXTENSIONS, deep: bool = True) -> Iterator[tuple[str, int, int] | None]:
+    """(path, size, mtime) of each file below root, or only in it, or None for an entry that can't be read.
 
     Links aren't followed, entries whose name starts with a dot are skipped, extensions are taken in any case.
     """
@@ -27,7 +27,8 @@ def found_below(root: str, extensions: tuple[str, ...] = EXTENSIONS) -> Iterator
             if e.name.startswith(".") or e.is_symlink():
                 continue
             if e.is_dir(follow_symlinks=False):
-                yield from found_below(e.path, extensions)
+                if deep:
+                    yield from found_below(e.path, extensions)
             elif e.is_file(follow_symlinks=False) and os.path.splitext(e.name)[1][1:].lower() in extensions:
                 stat = e.stat(follow_symlinks=False)
                 yield e.path, stat.st_size, max(0, int(stat.st_mtime))
@@ -52,10 +53,10 @@ class WalkReader(DataSourceReader):
         return [Part(self.root, False), *(Part(f, True) for f in folders)]
 
     def read(self, partition):
-        for x in found_below(partition.folder, self.extensions):
+        for x in found_below(partition.folder, self.extensions, partition.deep):
             if x is None:
                 yield (None, None, None)
-            elif partition.deep or os.path.dirname(x[0]) == partition.folder:
+            else:
                 yield x
 
 
