@@ -30,7 +30,7 @@ from .shared import arrow_map, forget, join_checked, materialise, mix, normal_wo
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SKETCHES = 64  # a pair with every fifth word changed, scattered evenly, misses all of them once in 14 times; one with every seventh, once in a thousand
+SKETCHES = 64  # a pair with a fifth of its words changed, scattered evenly, shares none of them one time in eight; with a seventh, once in hundreds
 ORDERED = 2
 GRAM = 2  # words of a run by which pairs are tested before they are aligned
 BLOCK_DOCS, BLOCK_WORDS = 256, 1_000_000
