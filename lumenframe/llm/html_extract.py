@@ -268,7 +268,8 @@ def page_sketch(text: str) -> list[int]:
     if not len(x):
         return []
     seeds = mix(np.arange(1, SKETCH + 1, dtype=np.uint64))
-    return [int(mix(x ^ s).min() >> np.uint64(32)) for s in seeds]
+    together = max(1, 40_000 // len(x))  # orders at once, so few that they stay in the processor's cache
+    return [int(least) for i in range(0, SKETCH, together) for least in mix(x[None, :] ^ seeds[i : i + together, None]).min(axis=1) >> np.uint64(32)]
 
 
 def differ(a: list[int], b: list[int]) -> bool:
@@ -400,18 +401,11 @@ def merged_children(xs: list, ys: list, same_page: bool = False) -> list:
 def page_wrapper(page: str | None) -> list:
     """The wrapper of one page."""
     root = parse(page or "")
-    article = page_sketch("\n".join(n.text for n in article_texts(root, None)))
-    for node in _walk(root):
-        node.groups = None
+    article: list[int] = []  # the slots that find the article hold its sketch, which is put in once it is known
+    article += page_sketch("\n".join(n.text for n in article_texts(root, None, article)))
     return slot_of([root], article)
 
 
-def _walk(node: Node):
-    yield node
-    for c in node.children:
-        yield from _walk(c)
-
-
 def extract(page: str | None, wrapper: list | None) -> str:
     """The text of a page, given its host's wrapper."""
     return "\n".join(n.text for n in article_texts(parse(page or ""), wrapper))
@@ -422,12 +416,13 @@ def is_template(slot: list | None, own: list) -> bool:
     return slot is not None and bool(slot[4]) and slot[4] == own[4] and len(slot[3]) > 1
 
 
-def article_texts(root: Node, wrapper: list | None) -> list[Node]:
-    """The text nodes of a page's article that aren't template in its host's wrapper."""
+def article_texts(root: Node, wrapper: list | None, article: list | None = None) -> list[Node]:
+    """The text nodes of a page's article that aren't template in its host's wrapper; its slots are made with article."""
+    sketch = [] if article is None else article
     slots: dict[int, tuple[list, list | None]] = {}  # of each element: its own slot and the wrapper's
 
     def place(node: Node, slot: list | None) -> None:
-        groups = parts(node, [])
+        groups = parts(node, sketch)
         pairs: list = [None] * len(groups)
         if slot is not None and slot[6]:
             for i, j in aligned([own for _, own in groups], slot[6], {}):

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from lumenframe.llm.html_extract import extract, host_of, main_text, matching, merged, page_wrapper, parse, slot_of
@@ -248,3 +249,23 @@ def test_wrappers_too_large_to_send(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     few, many = (sorted((r.page_id or -1, r.url or "", r.text, r.n_chars) for r in main_text(df, broadcast_bytes=b).collect()) for b in (1 << 20, -1))
     assert few == many and len(few) == 41 and few[1][2] == "T0\na0\nb0"
+
+
+def test_a_page_wrapper_makes_each_slot_once(monkeypatch):
+    """The slots by which the article is found are the wrapper's, and hold its sketch."""
+    from lumenframe.llm import html_extract as h
+
+    made, real = [], h.slot_of
+    monkeypatch.setattr(h, "slot_of", lambda group, article: made.append([id(n) for n in group]) or real(group, article))
+    text = " ".join(f"word{i}" for i in range(9_000))
+    wrapper = h.page_wrapper(f"<html><body><div><ul><li>a</li><li>b</li></ul></div><div><p>{text}</p><p>Another one.</p></div></body></html>")
+    assert len(made) == len({tuple(g) for g in made})
+
+    def held(slot):
+        yield slot[3]
+        for s in slot[6]:
+            yield from held(s)
+
+    x = h.windows(h.word_hashes(h.normal_words(f"{text}\nAnother one.")), 5)
+    sketch = [int(h.mix(x ^ s).min() >> np.uint64(32)) for s in h.mix(np.arange(1, h.SKETCH + 1, dtype=np.uint64))]
+    assert h.page_sketch(f"{text}\nAnother one.") == sketch and list(held(wrapper)) and all(a == [sketch] for a in held(wrapper))
