@@ -39,10 +39,15 @@ def survivors(docs: DataFrame, decisions: DataFrame, id_col: str, text_col: str
     """The rows of docs that decisions (id_col, kept boolean, text_digest or text_sha256; a row for each of docs) keep.
 
     A row is known by its id, null included, and its text, so of texts repeated under one id each is decided by
-    itself. Of rows alike in both, of which one is kept, one stays.
+    itself. Of rows alike in both, of which one is kept, one stays. Decisions without a digest know a row by its id
+    alone; a null id then names no row, and such rows stay.
     """
-    key, digest = ("text_digest", text_digest) if "text_digest" in decisions.columns else ("text_sha256", folded_digest)
-    by_row = decisions.groupBy(F.col(id_col).alias("__id"), F.col(key).alias("__key")).agg(F.max("kept").alias("__some"), F.min("kept").alias("__all"))
+    digests = {"text_digest": text_digest, "text_sha256": folded_digest}
+    key = next((c for c in digests if c in decisions.columns), None)
+    digest = digests[key] if key else lambda text: F.lit("")
+    if not key:
+        decisions = decisions.where(F.col(id_col).isNotNull())
+    by_row = decisions.groupBy(F.col(id_col).alias("__id"), (F.col(key) if key else F.lit("")).alias("__key")).agg(F.max("kept").alias("__some"), F.min("kept").alias("__all"))
     partly = materialise(by_row.where("not __all"), "dropped")
     gone, twice = partly.where("not __some").select("__id", "__key"), partly.where("__some").select("__id", "__key")
 
