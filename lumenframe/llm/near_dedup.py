@@ -9,10 +9,13 @@ Before a pair is aligned it must pass two tests that no link can fail: the lengt
 allowed, and the texts share enough pairs of neighbouring words (an edit touches at most two of them).
 
 Candidates aren't all emitted: (1) texts with equal words are one representative; (2) every member of a sketch's
-bucket is compared with the bucket's leader, which closes groups of copies in linear work, and those that don't link
-to it with a few others that do; (3) in buckets that still hold more than one component, those in the leader's component and the others are cut into blocks of bounded size,
-and each pair of blocks that holds others is compared in one task, which keeps the pairs to itself and returns only
-links: a few strangers in a bucket of copies cost no more than the copies. No bucket is capped.
+bucket is compared with the bucket's leader, which closes groups of copies in linear work; (3) in buckets that still
+hold several components, only texts are kept that have one of their rarest pairs of neighbouring words in common with
+another component: a link shares so many pairs that one of these is among them; (4) the members of a bucket outside
+its main component, the one with most of its rows, are compared with a few inside; (5) the main component and the
+others are cut into blocks of bounded size, and each pair of blocks that holds others is compared in one task, which
+keeps the pairs to itself and returns only links. A component that is the main one of many buckets meets all their
+others at once where that sends fewer rows. No bucket is capped.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -36,7 +39,7 @@ GRAM = 2  # words of a run by which pairs are tested before they are aligned
 BLOCK_DOCS, BLOCK_WORDS = 256, 1_000_000
 #: A group of copies has the same few leaders in all its buckets: one for each of so many classes of keys.
 LEADERS, TURN = 4, 0x2545F4914F6CDD1D >> 2
-#: Members of the leader's component with which the others of a bucket are compared before blocks are.
+#: Members of a bucket's main component with which the others of a bucket are compared before blocks are.
 DELEGATES = 4
 
 
@@ -166,12 +169,13 @@ LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.int32())
 def _block_links(rows: list[tuple], similarity: float) -> list[tuple]:
     """Links (a, b, distance, component of a, component of b) between components from one pair of blocks.
 
-    rows: (uid, comp, side, open keys, words, (key, lo, hi)). Rows of two blocks are compared across sides, those of
-    one block with each other. A pair is the work of the least bucket that both are in.
+    rows: (uid, comp, side, open keys, words, (whole, key, lo, hi)). Rows of two blocks are compared across sides,
+    those of one block with each other. A pair is the work of the least bucket that both are in; where whole, key is
+    a component whose buckets are compared at once, and a pair need only share some bucket.
     """
     comps = [r[1] for r in rows]
     side = np.array([r[2] for r in rows])
-    key, lo, hi = rows[0][5]
+    whole, key, lo, hi = rows[0][5]
     words = [word_hashes(r[4]) for r in rows]
     lengths = np.array([len(w) for w in words])
     grams = [labelled(w, GRAM) for w in words]
@@ -203,7 +207,7 @@ def _block_links(rows: list[tuple], similarity: float) -> list[tuple]:
     out = []
     for i, j in zip(*np.nonzero(np.triu(near)), strict=True):
         x, y = top(comps[i]), top(comps[j])
-        if x != y and min(set(rows[i][3]) & set(rows[j][3])) == key:
+        if x != y and (common_keys := set(rows[i][3]) & set(rows[j][3])) and (whole or min(common_keys) == key):
             d = edits(words[i], words[j], similarity)
             if d is not None:
                 root[x] = y
@@ -211,12 +215,46 @@ def _block_links(rows: list[tuple], similarity: float) -> list[tuple]:
     return out
 
 
+def least_shared(n: int, similarity: float) -> int:
+    """How many labelled runs of GRAM words a text of n words at least shares with any text as long or longer that it links to."""
+    longer = np.arange(n, int(n / similarity) + 2)
+    return int((longer - GRAM + 1 - GRAM * np.floor((1 - similarity) * longer + 1e-9)).min())
+
+
+def _alike(held: DataFrame, similarity: float) -> DataFrame:
+    """The components (comp) of held (uid, comp, words) of which a text shares one of its rarest runs with another: no other can link.
+
+    With the runs of GRAM words in one order for all texts, two texts that link share one that isn't among the last
+    ``least_shared - 1`` of either. Last come the runs that most texts hold, so texts that have a passage or frequent
+    word pairs in common and little else part here, in work that grows with the number of words.
+    """
+
+    def runs(batch: pa.RecordBatch) -> dict:
+        words = [word_hashes(w.as_py()) for w in batch.column("words")]
+        found, leave = [labelled(w, GRAM) for w in words], [least_shared(len(w), similarity) - 1 for w in words]
+        sizes = [len(x) for x in found]
+        return {c: np.repeat(batch.column(c).to_numpy(), sizes) for c in ("uid", "comp")} | {"run": np.concatenate(found).view(np.int64), "leave": np.repeat(leave, sizes)}
+
+    schema = pa.schema([("uid", pa.int64()), ("comp", pa.int64()), ("run", pa.int64()), ("leave", pa.int32())])
+    every = materialise(held.select("uid", "comp", "words").mapInArrow(arrow_map(runs, schema), "uid long, comp long, run long, leave int"), "runs")
+    seen = every.groupBy("run").agg(F.count("*").alias("seen"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("run", "seen")
+    last = Window.partitionBy("uid").orderBy(F.desc("seen"), F.desc("run"))
+    seen = materialise(seen, "seen")
+    told = every.join(seen, "run").withColumn("at", F.row_number().over(last)).where("at > leave").select("comp", "run").distinct()
+    told = materialise(told, "told")
+    common = materialise(told.groupBy("run").count().where("count > 1").select("run"), "common")
+    any_text = every.where("leave < 0").select("comp")  # so short that a link need not share a run
+    out = materialise(join_checked(told, common, "run", "left_semi", 16).select("comp").unionByName(any_text).distinct(), "alike")
+    forget(every, seen, told, common)
+    return out
+
+
 def near_links(reps: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """The rows of reps (uid, n, words, keys) that link: (node, comp), and the links (a, b, distance) that join them.
 
     The links span the components: two texts that a chain of found links joins already aren't compared again.
     """
-    buckets = reps.select("uid", F.explode("keys").alias("key"))
+    buckets = reps.select("uid", "n", F.explode("keys").alias("key"))
     turn = F.pmod("key", F.lit(LEADERS)) * F.lit(TURN)  # another order of the rows for each of a few classes of keys, which gives the row back
     stats = buckets.groupBy("key").agg(F.count("*").alias("members"), F.min(F.col("uid").bitwiseXOR(turn)).alias("least")).where("members > 1")
     stats = materialise(stats.select("key", "members", F.col("least").bitwiseXOR(turn).alias("lead")), "stats")
@@ -238,20 +276,26 @@ def near_links(reps: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame
     edges = verified(shared.where(F.col("uid") != F.col("lead")).select(F.col("uid").alias("a"), F.col("lead").alias("b")))
     comps = components(edges.select("a", "b"))
     name = comps.select(F.col("node").alias("uid"), "comp")
+    members = join_checked(shared.where("members > 2"), name, "uid", "left", 24).select("key", "uid", "n", (F.col("uid") == F.col("lead")).alias("leads"), F.coalesce("comp", "uid").alias("comp"))
+    members = materialise(members, "members")
+
+    def mixed(members: DataFrame) -> DataFrame:
+        """The rows of the buckets that hold several components, and main: the component with most of a bucket's rows, if any."""
+        members = members.select("key", "uid", "n", "leads", "comp")
+        held = members.groupBy("key", "comp").agg(F.count("*").alias("rows"))
+        held = held.groupBy("key").agg(F.count("*").alias("comps"), F.sum("rows").alias("all"), F.max(F.struct("rows", "comp")).alias("most")).where("comps > 1")
+        held = materialise(held.select("key", F.when(F.col("most.rows") * 2 > F.col("all"), F.col("most.comp")).alias("main")), "mixed")
+        inner = F.coalesce(F.col("comp") == F.col("main"), F.lit(False)).alias("inner")
+        out = materialise(join_checked(members, held, "key", "inner", 24).select("key", "uid", "n", "leads", "comp", "main", inner), "both")
+        forget(held)
+        return out
 
-    def placed(name: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The rows of each bucket with their component, and the buckets that hold several, with the leader's."""
-        members = join_checked(shared.where("members > 2"), name, "uid", "left", 24).select("key", "uid", (F.col("uid") == F.col("lead")).alias("leads"), F.coalesce("comp", "uid").alias("comp"))
-        members = materialise(members, "members")
-        mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("leads"), F.col("comp"))).alias("main")).where("lo <> hi").select("key", "main")
-        mixed = materialise(mixed, "mixed")
-        return members, mixed
-
-    def seen(members: DataFrame, mixed: DataFrame) -> DataFrame:
-        return join_checked(members, mixed, "key", "inner", 24).select("key", "uid", "leads", "comp", (F.col("comp") == F.col("main")).alias("inner"))
-
-    members, mixed = placed(name)
-    both = seen(members, mixed)
+    both = mixed(members)
+    keys = materialise(both.groupBy("uid", "comp").agg(F.collect_list("key").alias("open")), "keys")  # at most a key per sketch
+    held = materialise(join_checked(texts, keys, "uid", "inner", 24 + 8 * F.size("open")), "held")
+    alike = _alike(held, similarity)
+    every, both = both, mixed(join_checked(both, alike, "comp", "left_semi", 16))
+    forget(members, keys, alike, every)
     orders = [F.lit((j + 1) * TURN >> 3) for j in range(DELEGATES)]
     delegates = both.where(F.col("inner") & ~F.col("leads")).groupBy("key").agg(*[F.min(F.col("uid").bitwiseXOR(t)).bitwiseXOR(t).alias(f"d{j}") for j, t in enumerate(orders)])
     delegates = materialise(delegates.select("key", F.explode(F.array_distinct(F.array(*[f"d{j}" for j in range(DELEGATES)]))).alias("b")), "delegates")
@@ -260,31 +304,45 @@ def near_links(reps: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame
     if late.take(1):
         x, y = (name.select(F.col("uid").alias(i), F.col("comp").alias(c)) for i, c in (("a", "x"), ("b", "y")))
         ends = late.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
-        name = _joined_up(name, components(ends)).select(F.col("node").alias("uid"), "comp")
-        members, mixed = placed(name)
-    sized = materialise(seen(members, mixed).join(texts.select("uid", "n"), "uid"), "sized")
+        over = components(ends)
+        name = _joined_up(name, over).select(F.col("node").alias("uid"), "comp")
+        again = over.select(F.col("node").alias("comp"), F.col("comp").alias("final"))
+        apart, both = both, mixed(join_checked(both, again, "comp", "left", 16).withColumn("comp", F.coalesce("final", "comp")))
+        forget(apart, over)
 
     def parts(of: Column) -> Column:
         docs, words = F.count(F.when(of, True)), F.sum(F.when(of, F.col("n").cast("long")).otherwise(0))
         return F.greatest(F.ceil(docs / BLOCK_DOCS), F.ceil(words / BLOCK_WORDS)).cast("int")
 
-    spread = materialise(sized.groupBy("key").agg(parts(F.col("inner") & ~F.col("leads")).alias("mains"), parts(~F.col("inner")).alias("others")), "spread")
-    still = join_checked(sized, spread, "key", "inner", 24)
-    keys = materialise(sized.groupBy("uid").agg(F.collect_list("key").alias("open")), "keys")  # at most a key per sketch
-    held = join_checked(texts.select("uid", "words"), keys, "uid", "inner", 24 + 8 * F.size("open"))
-    block = F.pmod(F.xxhash64("uid", "key"), F.when(F.col("inner"), F.col("mains")).otherwise(F.col("others"))).cast("int")
-    dealt = still.where(~F.col("leads")).withColumn("block", block)
-    across = F.when(F.col("mains") > 0, F.expr("transform(sequence(0, mains - 1), i -> struct(i as lo, -1 - block as hi, 1 as side))")).otherwise(F.array().cast("array<struct<lo:int,hi:int,side:int>>"))
+    sized = (F.count(F.when(F.col("inner"), True)).alias("ours"), F.count(F.when(~F.col("inner"), True)).alias("theirs"), parts(F.col("inner")).alias("mains"), parts(~F.col("inner")).alias("others"))
+    dealt = both.where(~F.col("leads"))
+    spread = materialise(dealt.groupBy("key", "main").agg(*sized), "spread")
+    cost = F.col("ours") * F.col("others") + F.col("theirs") * F.col("mains")  # rows sent to compare a main component with others
+    apart = spread.groupBy("main").agg(F.sum(cost).alias("apart"))
+    sides = dealt.where("main is not null").select("main", "uid", "n", "comp", "inner").distinct()
+    whole = materialise(sides.groupBy("main").agg(*sized).join(apart, "main").where(cost < F.col("apart")).select("main", "mains", "others"), "whole")
+    still = join_checked(dealt, spread.select("key", "mains", "others"), "key", "inner", 24)
+    block = F.pmod(F.xxhash64("uid", "key"), F.when(F.col("inner"), F.col("mains")).otherwise(F.col("others"))).cast("int").alias("block")
+
+    def meet(rows: DataFrame, whole: bool, blocks: Column) -> DataFrame:
+        rows = rows.select("key", "uid", "comp", "inner", "mains", "others", block)
+        return rows.select(F.lit(whole).alias("whole"), "key", "uid", "comp", F.explode(blocks).alias("t")).select("whole", "key", "t.lo", "t.hi", "t.side", "uid", "comp")
+
+    across = F.expr(
+        "if(inner, transform(sequence(0, others - 1), j -> struct(block as lo, -1 - j as hi, 0 as side)), transform(sequence(0, mains - 1), i -> struct(i as lo, -1 - block as hi, 1 as side)))"
+    )
     among = F.expr("transform(sequence(0, others - 1), j -> struct(least(block, j) as lo, greatest(block, j) as hi, if(block > j, 1, 0) as side))")
-    inner = F.expr("transform(sequence(0, others - 1), j -> struct(block as lo, -1 - j as hi, 0 as side))")
-    dealt = dealt.select("key", "uid", "comp", F.explode(F.when(F.col("inner"), inner).otherwise(F.concat(across, among))).alias("t")).select("key", "t.lo", "t.hi", "t.side", "uid", "comp")
-    together = dealt.join(held, "uid").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    some = join_checked(still.where("mains > 0 and others > 0"), whole, "main", "left_anti", 16)
+    every = join_checked(sides, whole, "main", "inner", 24).where("mains > 0 and others > 0").withColumn("key", F.col("main"))
+    dealt = meet(still.where(~F.col("inner")), False, among).unionByName(meet(some, False, across)).unionByName(meet(every, True, across))
+    group = ("whole", "key", "lo", "hi")
+    together = dealt.join(held.select("uid", "open", "words"), "uid").repartition(*group).sortWithinPartitions(*group)
 
     def compare(batches):
         rows, at = [], None
         out = []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("key", "lo", "hi")]
+            cols = [batch.column(c).to_pylist() for c in group]
             rest = [batch.column(c).to_pylist() for c in ("uid", "comp", "side", "open", "words")]
             for i, now in enumerate(zip(*cols, strict=True)):
                 if now != at:
@@ -300,7 +358,7 @@ def near_links(reps: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame
     more = materialise(together.mapInArrow(compare, "a long, b long, distance int, x long, y long"), "more")
     out = _joined_up(name, components(more.select(F.col("x").alias("a"), F.col("y").alias("b"))))
     links = materialise(edges.unionByName(late).unionByName(more.select("a", "b", "distance")).distinct(), "found")
-    forget(stats, shared, edges, late, comps, members, mixed, sized, spread, keys, more)
+    forget(stats, shared, edges, late, comps, both, held, spread, whole, more)
     return out, links
 
 

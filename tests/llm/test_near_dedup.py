@@ -181,3 +181,45 @@ def test_rows_under_one_id_are_decided_by_text(spark):
     left = shared.survivors(docs, near_duplicates(docs), "doc_id").collect()
     assert len(left) == 3 and sorted(r.doc_id or 0 for r in left) == [0, 5, 5]
     assert {r.text for r in left} - {base, texts[1]} == {texts[2], None}
+
+
+def test_texts_with_only_a_passage_in_common_are_not_sent_to_blocks(spark, monkeypatch):
+    """300 texts share a passage and so their buckets; the one pair near each other and its class are found."""
+    passage = shaped(21, 60)
+    texts = [f"{shaped(1000 + i, 60)} {passage} {shaped(2000 + i, 30)}" for i in range(300)]
+    texts += [edited(texts[5], 1, 4), "aa bb cc", "aa bb dd"]
+    rows = {}
+
+    def counted(df, name, write=near_dedup.materialise):
+        out = write(df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialise", counted)
+    got = {r.doc_id: r.class_id for r in near_duplicates(documents(spark, texts)).collect()}
+    assert got == {i: 300 if i == 5 else i for i in range(303)}
+    assert rows["buckets"][0] > 1000 and rows["spread"][0] == 0
+
+
+def test_strangers_meet_the_main_component_of_many_buckets_once(spark, monkeypatch):
+    """A family of copies and texts half like it: classes as by brute force, however small the blocks are."""
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 4)
+    base = shaped(22, 80)
+    texts = [edited(base, i, 1 + i % 3) for i in range(40)]
+    texts += [" ".join([*base.split()[:k], *shaped(300 + k, 80 - k).split()]) for k in range(52, 70)]
+    got = {r.doc_id: r.class_id for r in near_duplicates(documents(spark, texts)).collect()}
+    assert got == brute(texts)
+
+
+def test_the_rarest_runs_lose_no_link():
+    r = np.random.default_rng(7)
+    for n in range(1, 120):
+        need = near_dedup.least_shared(n, 0.8)
+        for longer in range(n, 160):
+            if longer - n <= near_dedup.budget(longer, 0.8):
+                assert need <= near_dedup.least_common(longer, 0.8)
+        a = r.integers(0, 9, n).astype(np.uint64)
+        b = a.copy()
+        b[r.choice(n, near_dedup.budget(n, 0.8), replace=False)] = 99
+        first = [set(np.sort(labelled(x, near_dedup.GRAM))[: max(0, len(labelled(x, near_dedup.GRAM)) - need + 1)].tolist()) for x in (a, b)]
+        assert need < 1 or first[0] & first[1]
